@@ -6,8 +6,9 @@ from quirekit.llm.fingerprints import op6_fingerprints
 from quirekit.llm.mixing import op8_mixing
 from quirekit.llm.near_duplicates import op5_near_duplicates
 from quirekit.llm.packing import op3_packing
+from quirekit.llm.passages import op9_repeated_passages
 from quirekit.llm.quality import op10_quality
 from quirekit.llm.secret_scan import op2_secrets
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op3_packing, op5_near_duplicates, op6_fingerprints, op8_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_secrets, op3_packing, op5_near_duplicates, op6_fingerprints, op8_mixing, op9_repeated_passages, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
