@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from quirekit.llm.fingerprints import op6_fingerprints
+from quirekit.llm.html_extraction import op1_html_extraction
+from quirekit.llm.license_scan import op4_licenses
 from quirekit.llm.mixing import op8_mixing
 from quirekit.llm.near_duplicates import op5_near_duplicates
+from quirekit.llm.neighbours import op7_nearest
 from quirekit.llm.packing import op3_packing
 from quirekit.llm.passages import op9_repeated_passages
 from quirekit.llm.quality import op10_quality
 from quirekit.llm.secret_scan import op2_secrets
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op3_packing, op5_near_duplicates, op6_fingerprints, op8_mixing, op9_repeated_passages, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secrets, op3_packing, op4_licenses, op5_near_duplicates, op6_fingerprints, op7_nearest, op8_mixing, op9_repeated_passages, op10_quality)}
+#: None: lexers, automata, learned scores, signatures, graphs, chains and packings are beyond SQL; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {}
