@@ -22,3 +22,11 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from quirekit.plans import evaluation  # noqa: F401
+
+
+load()
