@@ -84,7 +84,8 @@ def probabilities(cells: pd.DataFrame, keep: float) -> pd.DataFrame:
     full = np.concatenate([[0.0], np.cumsum(t)[:-1]])  # tokens of the cells of larger weight, all kept
     rest = np.cumsum((w * t)[::-1])[::-1]
     scale = np.divide(budget - full, rest, out=np.full_like(w, np.inf), where=rest > 0)
-    fits = np.flatnonzero((scale * w <= 1 + 1e-12) & (scale >= 0))
+    with np.errstate(invalid="ignore"):  # no tokens are left at an infinite scale
+        fits = np.flatnonzero((scale * w <= 1 + 1e-12) & (scale >= 0))
     p = np.where(w > 0, 1.0, 0.0)
     if len(fits):
         p[fits[0] :] = np.minimum(1.0, scale[fits[0]] * w[fits[0] :])

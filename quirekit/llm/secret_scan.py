@@ -126,7 +126,7 @@ def pairs(text: str) -> list[Pair]:
             out.append(Pair(m.group("call"), value, (span,), quoted))
         elif kind:
             name = (m.group("sub") or m.group("name")).strip("\"'")
-            value, spans, quoted = [], [], True
+            value, spans, quoted, opaque = [], [], True, False
             for p in _PARTS.finditer(text, m.start("value"), m.end("value")):
                 if p.group("text"):
                     inside, before, after = _quoted(p.group("text"))
@@ -147,6 +147,10 @@ def pairs(text: str) -> list[Pair]:
                     value.append(p.group())
                     spans.append(p.span())
                     quoted = False
+                    opaque |= text[p.end() : p.end() + 1] in ("(", "[")  # a call or a look-up, not a literal
+            if opaque:
+                known.pop(name, None)
+                continue
             pair = Pair(name, "".join(value), tuple(dict.fromkeys(spans)), quoted)
             known[name] = known[name.rpartition(".")[2]] = pair
             out.append(pair)
