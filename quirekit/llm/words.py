@@ -32,7 +32,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse, modulo 2^64."""
     out = []
     for base in (_BASE, _INV):
         p = np.full(n, base, np.uint64)
@@ -79,7 +80,7 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         start[after] |= inside[after]
         end[after - 1] |= True
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-    power, inverse = _powers(1 << max(16, int(len(raw)).bit_length()))
+    power, inverse = powers(1 << max(16, int(len(raw)).bit_length()))
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + U64(1)) * power[: len(raw)], out=total[1:])
     h = mix((total[e] - total[s]) * inverse[s])
