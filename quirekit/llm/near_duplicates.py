@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirekit.llm.common import narrow_join, prepared, saved
-from quirekit.llm.signatures import agreeing, buckets, checked, distinct_ids, linked, signed
+from quirekit.llm.signatures import agreeing, buckets, checked, known, linked, one_each, signed
 
 N_HASHES = 64
 #: A scheme must find a pair at its threshold with this probability.
@@ -48,10 +48,10 @@ def near_duplicates(docs: DataFrame, containment: float = 0.7, shingle: int = 3,
     its text with the largest set. Texts of fewer words than a shingle are one shingle.
     """
     rows = prepared(docs)
-    signs = saved(distinct_ids(signed(rows, shingle, n_hashes, seed)))
-    signs = saved(signs.withColumn("first", F.min("doc_id").over(W.partitionBy("print", "size"))))
-    same = signs.where("doc_id <> first").select("doc_id", F.col("first").alias("duplicate_of"), F.lit(1.0).alias("containment"), "size", F.col("size").alias("other_size"))
-    one = signs.where("doc_id = first").drop("first")
+    signs = saved(signed(rows, shingle, n_hashes, seed))
+    table, twice = known(signs)
+    same = table.where("doc_id <> first").select("doc_id", F.col("first").alias("duplicate_of"), F.lit(1.0).alias("containment"), "size", F.col("size").alias("other_size"))
+    one = one_each(narrow_join(signs, saved(same.select("doc_id")), "doc_id", "left_anti"), twice)
     gaps = math.ceil(math.log2(reach))
     own, above = tuned(jaccard_at(containment, 2.0), n_hashes), tuned(jaccard_at(containment, reach), n_hashes)
     found = buckets(one, [(*own, True, ()), (*above, False, tuple(range(1, gaps + 1)))])
@@ -60,7 +60,7 @@ def near_duplicates(docs: DataFrame, containment: float = 0.7, shingle: int = 3,
     floor = f"greatest(1, floor({n_hashes} * {jac} - 2.6 * sqrt({n_hashes} * {jac} * (1 - {jac}))))"
     likely = agreeing(links, one, floor, n_hashes).where(f"other_size <= {reach} * size")
     rank = [F.desc(F.expr("agree * (size + other_size) / size")), F.asc("other")]
-    good = checked(rows, likely, shingle, "both / size", containment, rank)
+    good = checked(rows, likely, twice, shingle, "both / size", containment, rank)
     return same.union(good.select("doc_id", F.col("other").alias("duplicate_of"), F.col("score").alias("containment"), "size", "other_size"))
 
 

@@ -124,22 +124,22 @@ def agreeing(links: DataFrame, signs: DataFrame, floor: str, n_hashes: int) -> D
 
     short = saved(signs.select("doc_id", "size", low("sig").alias("sig")))
     two = short.select(F.col("doc_id").alias("other"), F.col("size").alias("other_size"), F.col("sig").alias("other_sig"))
-    both = links.join(short, "doc_id").join(two, "other")
+    both = links.join(short.hint("merge"), "doc_id").join(two.hint("merge"), "other")
     return both.select("doc_id", "other", "size", "other_size", same("sig", "other_sig").alias("agree")).where(F.expr(f"agree >= {floor}"))
 
 
-def needed_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, items) of the documents in ids (saved, one column doc_id): their shingle sets, chosen as distinct_ids() does."""
+def needed_sets(docs: DataFrame, ids: DataFrame, twice: DataFrame, k: int) -> DataFrame:
+    """(doc_id, items) of the documents in ids (saved, one column doc_id): their shingle sets; of the doc_ids in twice (doc_id, size, print) the sets that it names."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rebatched(it, 2048):
+        for batch in rebatched(it, 512):
             sets = list(sets_of(column(batch, "text").to_pylist(), k))
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([print_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "size", "print", "items"]
             )
 
     found = narrow_join(docs, ids, "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, size int, print bigint, items binary")
-    return found.groupBy("doc_id").agg(F.max_by("items", F.struct("size", "print")).alias("items"))
+    return one_each(found, twice).select("doc_id", "items")
 
 
 def shared(links: DataFrame, sets: DataFrame) -> DataFrame:
@@ -159,24 +159,39 @@ def shared(links: DataFrame, sets: DataFrame) -> DataFrame:
 
         return pd.Series([both(p, q) for p, q in zip(x, y)], dtype="int32")
 
-    other = sets.select(F.col("doc_id").alias("other"), F.col("items").alias("other_items"))
-    return links.join(sets, "doc_id").join(other, "other").select(*links.columns, common("items", "other_items").alias("both"))
+    others = saved(links.select(F.col("other").alias("doc_id")).distinct())
+    other = narrow_join(sets, others, "doc_id", "left_semi").select(F.col("doc_id").alias("other"), F.col("items").alias("other_items"))
+    left = narrow_join(sets, links, "doc_id", "inner")
+    return left.join(other.hint("merge"), "other").select(*links.columns, common("items", "other_items").alias("both"))
+
+
+def one_each(rows: DataFrame, twice: DataFrame) -> DataFrame:
+    """rows (doc_id, size, print, ...) with one of each doc_id: where it comes with several texts, that in twice (doc_id, size, print; saved)."""
+    if twice.isEmpty():
+        return rows
+    chosen = narrow_join(rows, twice, ["doc_id", "size", "print"], "left_semi").dropDuplicates(["doc_id"])
+    return narrow_join(rows, twice.select("doc_id"), "doc_id", "left_anti").union(chosen)
+
 
+def known(signs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of signs (saved): (doc_id, size, print, first) of each doc_id, and (doc_id, size, print) of those that come with several texts.
 
-def distinct_ids(signs: DataFrame) -> DataFrame:
-    """One row for each doc_id: where it comes with several texts, the one of the largest shingle set, then of the largest hash, stands for it."""
-    return signs.groupBy("doc_id").agg(F.max_by(F.struct("size", "print", "sig"), F.struct("size", "print")).alias("s")).select("doc_id", "s.*")
+    The text of the largest shingle set, then of the largest hash, stands for a doc_id; first is the smallest doc_id of the same set. Only these numbers are moved, no signatures."""
+    best = signs.groupBy("doc_id").agg(F.max(F.struct("size", "print")).alias("s"), F.count("*").alias("rows")).select("doc_id", "s.*", "rows")
+    table = saved(best.withColumn("first", F.min("doc_id").over(W.partitionBy("print", "size"))))
+    return table.drop("rows"), saved(table.where("rows > 1").select("doc_id", "size", "print"))
 
 
-def checked(docs: DataFrame, links: DataFrame, k: int, score: str, least: float, rank: list) -> DataFrame:
+def checked(docs: DataFrame, links: DataFrame, twice: DataFrame, k: int, score: str, least: float, rank: list) -> DataFrame:
     """Of each doc_id's links, the best that passes the exact check, as (doc_id, other, size, other_size, both, score).
 
     First only each document's most promising link is checked; all other links of the documents that failed follow."""
     links = saved(links.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy(*rank))))
     ids = saved(links.select("doc_id").union(links.select("other")).distinct())
-    sets = saved(needed_sets(docs, ids, k))
-    first = saved(shared(links.where("place = 1"), sets).withColumn("score", F.expr(score)).where(F.col("score") >= least))
-    rest = links.where("place > 1").join(first.select("doc_id"), "doc_id", "left_anti")
-    second = shared(rest, sets).withColumn("score", F.expr(score)).where(F.col("score") >= least)
+    sets = saved(needed_sets(docs, ids, twice, k))
+    first = saved(shared(saved(links.where("place = 1")), sets).withColumn("score", F.expr(score)).where(F.col("score") >= least))
+    rest = saved(narrow_join(links.where("place > 1"), saved(first.select("doc_id")), "doc_id", "left_anti"))
+    asked = saved(rest.select("doc_id").union(rest.select("other")).distinct())
+    second = shared(rest, narrow_join(sets, asked, "doc_id", "left_semi")).withColumn("score", F.expr(score)).where(F.col("score") >= least)
     second = second.withColumn("at", F.row_number().over(W.partitionBy("doc_id").orderBy("place"))).where("at = 1").drop("at")
-    return first.union(second).drop("place", "agree")
+    return first.union(second.select(first.columns)).drop("place", "agree")

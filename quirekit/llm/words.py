@@ -115,7 +115,7 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return x[keep], at
 
 
-def batches(texts: list[str], most: int = 1 << 20):
+def batches(texts: list[str], most: int = 1 << 18):
     """Slices of texts of about so many characters; a longer text is a slice of its own."""
     a = size = 0
     for b, t in enumerate(texts):
