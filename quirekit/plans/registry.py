@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from quirekit.plans import evaluation, scoring  # noqa: F401
+    from quirekit.plans import decoding, documents, evaluation, layout, scoring  # noqa: F401
 
 
 load()
