@@ -22,18 +22,18 @@ def beam_udf(letters: Sequence[str], k: int = 8, lm: ctc.NgramModel | None = Non
     """A line's frames to its bag and, where it can't be decoded, the reason."""
     ctc.check_alphabet(letters, letters[-1])
 
-    @F.pandas_udf(f"bag {BAG}, error string")
-    def run(frames: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(f"array<struct<bag:{BAG},error:string>>")
+    def run(frames: pd.Series) -> pd.Series:
         out = []
         for f in frames:
             try:
                 found, _ = ctc.prefix_beam(_matrix(f), letters, k, lm, lm_scale, bonus)
-                out.append(([{"text": t, "vis": v, "lm": m} for t, v, m in found], None))
+                out.append([{"bag": [{"text": t, "vis": v, "lm": m} for t, v, m in found], "error": None}])
             except (ValueError, TypeError) as e:
-                out.append((None, str(e)))
-        return pd.DataFrame(out, columns=["bag", "error"])
+                out.append([{"bag": None, "error": str(e)}])
+        return pd.Series(out)
 
-    return run.asNondeterministic()  # else the optimizer asks for it once for each field
+    return lambda c: F.get(run(c), F.lit(0))
 
 
 def decoder(kind: str, letters: Sequence[str], **config):
@@ -53,17 +53,17 @@ def decoder(kind: str, letters: Sequence[str], **config):
 def aligned_udf(blank: int, positions: bool = False):
     """(log-probabilities, symbols) to the symbol of each frame; null, with the reason, where there is no alignment."""
 
-    @F.pandas_udf("path array<int>, error string")
-    def run(frames: pd.Series, symbols: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("array<struct<path:array<int>,error:string>>")
+    def run(frames: pd.Series, symbols: pd.Series) -> pd.Series:
         out = []
         for f, s in zip(frames, symbols):
             try:
-                out.append((ctc.forced_alignment(-_matrix(f), [int(x) for x in s], blank, positions), None))
+                out.append([{"path": ctc.forced_alignment(-_matrix(f), [int(x) for x in s], blank, positions), "error": None}])
             except ValueError as e:
-                out.append((None, str(e)))
-        return pd.DataFrame(out, columns=["path", "error"])
+                out.append([{"path": None, "error": str(e)}])
+        return pd.Series(out)
 
-    return run.asNondeterministic()
+    return lambda c, symbols: F.get(run(c, symbols), F.lit(0))
 
 
 def letters_udf(blank: int):
