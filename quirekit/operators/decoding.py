@@ -18,52 +18,55 @@ def _matrix(frames) -> np.ndarray:
     return np.array([np.asarray(f, float) for f in frames]) if len(frames) else np.zeros((0, 1))
 
 
-def beam_udf(letters: Sequence[str], k: int = 8, lm: ctc.NgramModel | None = None, lm_scale: float = 1.0, bonus: float = 0.0):
-    """A line's frames to its bag and, where it can't be decoded, the reason."""
+def bags(lines: DataFrame, letters: Sequence[str], k: int = 8, lm: ctc.NgramModel | None = None, lm_scale: float = 1.0, bonus: float = 0.0) -> DataFrame:
+    """(line, bag, error) of lines (line, logp): each line's hypotheses, the best visual score first, or the reason why it can't be decoded."""
     ctc.check_alphabet(letters, letters[-1])
 
-    @F.pandas_udf(f"array<struct<bag:{BAG},error:string>>")
-    def run(frames: pd.Series) -> pd.Series:
-        out = []
-        for f in frames:
-            try:
-                found, _ = ctc.prefix_beam(_matrix(f), letters, k, lm, lm_scale, bonus)
-                out.append([{"bag": [{"text": t, "vis": v, "lm": m} for t, v, m in found], "error": None}])
-            except (ValueError, TypeError) as e:
-                out.append([{"bag": None, "error": str(e)}])
-        return pd.Series(out)
+    def one(frames) -> tuple:
+        try:
+            return [{"text": t, "vis": v, "lm": m} for t, v, m in ctc.prefix_beam(_matrix(frames), letters, k, lm, lm_scale, bonus)[0]], None
+        except ValueError as e:
+            return None, str(e)
+
+    if not isinstance(k, int) or isinstance(k, bool) or k < 1:
+        ctc.prefix_beam(np.zeros((0, 1)), letters, k)
+
+    def run(it):
+        for pdf in it:
+            out = [one(f) for f in pdf.logp]
+            yield pd.DataFrame({"line": pdf.line, "bag": [b for b, _ in out], "error": [e for _, e in out]})
 
-    return lambda c: F.get(run(c), F.lit(0))
+    return lines.select("line", "logp").mapInPandas(run, f"line {lines.schema['line'].dataType.simpleString()}, bag {BAG}, error string")
 
 
 def decoder(kind: str, letters: Sequence[str], **config):
-    """A column function from frames to text by its configured kind: GREEDY or FAST-LOG-RAW (a beam; with a model it needs lm_scale)."""
+    """A function from lines (line, logp) to (line, text) by its configured kind: GREEDY or FAST-LOG-RAW (a beam; with a model it needs lm_scale)."""
     from quirekit.operators.scoring import greedy
 
     if kind == "GREEDY":
-        return lambda c: greedy(c, letters)["text"]
+        return lambda lines: lines.select("line", greedy(F.col("logp"), letters)["text"].alias("text"))
     if kind == "FAST-LOG-RAW":
         if config.get("lm") is not None and "lm_scale" not in config:
             raise ValueError("a model needs lm_scale")
-        run = beam_udf(letters, **config)
-        return lambda c: F.get(run(c)["bag"], F.lit(0))["text"]
+        return lambda lines: bags(lines, letters, **config).select("line", F.get("bag", F.lit(0))["text"].alias("text"))
     raise ValueError(f"unknown kind of decoder: {kind}")
 
 
-def aligned_udf(blank: int, positions: bool = False):
-    """(log-probabilities, symbols) to the symbol of each frame; null, with the reason, where there is no alignment."""
+def alignments(lines: DataFrame, blank: int, positions: bool = False) -> DataFrame:
+    """(line, path, error) of lines (line, logp, symbols): the symbol of each frame, or the reason why there is no alignment."""
 
-    @F.pandas_udf("array<struct<path:array<int>,error:string>>")
-    def run(frames: pd.Series, symbols: pd.Series) -> pd.Series:
-        out = []
-        for f, s in zip(frames, symbols):
-            try:
-                out.append([{"path": ctc.forced_alignment(-_matrix(f), [int(x) for x in s], blank, positions), "error": None}])
-            except ValueError as e:
-                out.append([{"path": None, "error": str(e)}])
-        return pd.Series(out)
+    def one(frames, symbols) -> tuple:
+        try:
+            return ctc.forced_alignment(-_matrix(frames), [int(x) for x in symbols], blank, positions), None
+        except ValueError as e:
+            return None, str(e)
+
+    def run(it):
+        for pdf in it:
+            out = [one(f, s) for f, s in zip(pdf.logp, pdf.symbols)]
+            yield pd.DataFrame({"line": pdf.line, "path": [p for p, _ in out], "error": [e for _, e in out]})
 
-    return lambda c, symbols: F.get(run(c, symbols), F.lit(0))
+    return lines.select("line", "logp", "symbols").mapInPandas(run, f"line {lines.schema['line'].dataType.simpleString()}, path array<int>, error string")
 
 
 def letters_udf(blank: int):

@@ -18,13 +18,12 @@ def _text():
 
 @query("d06_prefix_beam")
 def d06(s, d):
-    rows = logp(s, d).select("line", de.beam_udf(LETTERS, 8)(F.col("logp")).alias("b"))
-    return rows.select("line", F.posexplode("b.bag").alias("rank", "h")).select("line", "rank", "h.text", F.round("h.vis", 6).alias("vis"))
+    return de.bags(logp(s, d), LETTERS, 8).select("line", F.posexplode("bag").alias("rank", "h")).select("line", "rank", "h.text", F.round("h.vis", 6).alias("vis"))
 
 
 @query("d09_decoder")
 def d09(s, d):
-    return logp(s, d).select("line", de.decoder("FAST-LOG-RAW", LETTERS, k=4)(F.col("logp")).alias("text"))
+    return de.decoder("FAST-LOG-RAW", LETTERS, k=4)(logp(s, d))
 
 
 @query("d15_ngram_counts", """WITH c AS (SELECT text || chr(10) AS t FROM conversations), g AS (SELECT substr(t, i::BIGINT, 1) AS letter, CASE WHEN n > 0 THEN substr(t, (i - n)::BIGINT, n::BIGINT) ELSE '' END AS context FROM c, (SELECT unnest(range(1, 4000)) AS i), (VALUES (0), (1), (2)) v(n) WHERE i <= length(t) AND n < i)
@@ -52,8 +51,7 @@ def st01(s, d):
 
 @query("d11_forced_alignment")
 def d11(s, d):
-    rows = logp(s, d).select("line", de.aligned_udf(BLANK)(F.col("logp"), _text()).alias("a"))
-    return rows.select("line", "a.path", "a.error")
+    return de.alignments(logp(s, d).withColumn("symbols", _text()), BLANK)
 
 
 @query("d12_alignment_cost", f"""WITH {CELLS}, p AS (SELECT c.line, c.t, c.k, c.v - t.lse AS lp FROM cells c JOIN tops t USING (line, t)),
@@ -63,7 +61,8 @@ w0 AS (SELECT line, st, -lp AS c FROM p JOIN s ON sym = k WHERE t = 0 AND st < 2
 SELECT line, round(min(c), 5) AS cost FROM w7 WHERE st >= 5 GROUP BY line""")
 def d12(s, d):
     """The cost of the cheapest path, which doesn't depend on ties."""
-    rows = logp(s, d).select("line", "logp", de.aligned_udf(BLANK)(F.col("logp"), _text())["path"].alias("path"))
+    paths = de.alignments(logp(s, d).withColumn("symbols", _text()), BLANK)
+    rows = logp(s, d).join(paths, "line")
     return rows.select("line", F.round(-sc.total(sc.picked(F.col("logp"), F.col("path"))), 5).alias("cost"))
 
 
