@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirekit.functions.sequence import alignment_udf
+from quirekit.operators.scoring import let
 
 INF = float("inf")
 
@@ -49,23 +51,24 @@ def micro(lines: DataFrame, by: list[str]) -> DataFrame:
     return found.withColumn("rate", rate(F.col("errors"), F.col("ref_len")))
 
 
-def encoded_words(a: Column, b: Column) -> tuple[Column, Column]:
-    """Two texts with each distinct word as one character, so that distances of the characters are distances of the words.
+def encoded_words(a: Column, b: Column) -> Column:
+    """Two texts with each distinct word as one character, as an array: distances of the characters are distances of the words."""
 
-    The characters lie beyond the surrogates; 2^20 distinct words of a pair can be told apart."""
-    left, right = F.split(single_spaced(a), " "), F.split(single_spaced(b), " ")
-    both = F.array_distinct(F.concat(left, right))
-    at = lambda w, words: F.array_position(words, w).cast("int") + 0x10000 - 1
-    units = lambda n: F.concat(F.hex(F.lit(0xD800).cast("int") + F.shiftright(n - 0x10000, 10)), F.hex(F.lit(0xDC00).cast("int") + n.bitwiseAND(0x3FF)))
-    code = lambda ws: F.decode(F.unhex(F.array_join(F.transform(ws, lambda w: units(at(w, both))), "")), "UTF-16BE")
-    return code(left), code(right)
+    @F.pandas_udf("array<string>")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for s, t in zip(x, y):
+            codes: dict[str, str] = {}
+            code = lambda w: codes.setdefault(w, chr(0x100 + len(codes) + (0x800 if len(codes) >= 0xD700 else 0)))  # noqa: B023, E731
+            out.append([None if v is None else "".join(code(w) for w in v.split(" ") if w) for v in (s, t)])
+        return pd.Series(out)
+
+    return run(single_spaced(a), single_spaced(b))
 
 
 def word_errors(ref: Column, hyp: Column) -> Column:
     """The edit distance of two texts in words."""
-    a, b = encoded_words(ref, hyp)
-    some = F.length(single_spaced(ref)) > 0
-    return F.when(some & (F.length(single_spaced(hyp)) > 0), F.levenshtein(a, b)).when(some, n_words(ref)).otherwise(n_words(hyp))
+    return let(encoded_words(ref, hyp), lambda e: F.levenshtein(F.get(e, F.lit(0)), F.get(e, F.lit(1))))
 
 
 def n_words(c: Column) -> Column:
