@@ -9,9 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirekit.llm.common import narrow_join, prepared, saved
-from quirekit.llm.signatures import agreeing, buckets, checked, known, linked, one_each, signed
+from quirekit.llm.signatures import agreeing, between, buckets, checked, known, linked, one_each, signed
 
 N_HASHES = 64
+#: Hash functions that weigh the pairs of the second look.
+N_WIDE = 256
 #: A scheme must find a pair at its threshold with this probability.
 FIND = 0.95
 
@@ -42,7 +44,8 @@ def near_duplicates(docs: DataFrame, containment: float = 0.7, shingle: int = 3,
     Documents are partitioned by the power of 2 of their set's size. For the containers of their own partition and of those
     one, two, ... above, up to `reach`, the containment becomes a Jaccard threshold, and bands are tuned for each. In each
     bucket a document is linked with the first and with the last that come before it, so that groups of
-    thousands of copies give links in proportion to their size. Links are weighed by their signatures and then checked exactly.
+    thousands of copies give links in proportion to their size. Documents without a duplicate among those are then compared with all
+    that come before them in their buckets. Links are weighed by their signatures and then checked exactly.
 
     Rows with a null doc_id or text, and texts without a word, are no duplicates. Rows of one doc_id are one document, of
     its text with the largest set. Texts of fewer words than a shingle are one shingle.
@@ -55,12 +58,14 @@ def near_duplicates(docs: DataFrame, containment: float = 0.7, shingle: int = 3,
     gaps = math.ceil(math.log2(reach))
     own, above = tuned(jaccard_at(containment, 2.0), n_hashes), tuned(jaccard_at(containment, reach), n_hashes)
     found = buckets(one, [(*own, True, ()), (*above, False, tuple(range(1, gaps + 1)))])
-    links = linked(found, [F.desc("size"), F.asc("doc_id")])
+    links, deep = linked(found, [F.desc("size"), F.asc("doc_id")])
     jac = f"({containment} * size / (other_size + size * (1 - {containment})))"
     floor = f"greatest(1, floor({n_hashes} * {jac} - 2.6 * sqrt({n_hashes} * {jac} * (1 - {jac}))))"
     likely = agreeing(links, one, floor, n_hashes).where(f"other_size <= {reach} * size")
     rank = [F.desc(F.expr("agree * (size + other_size) / size")), F.asc("other")]
-    good = checked(rows, likely, twice, shingle, "both / size", containment, rank)
+    good = saved(checked(rows, likely, twice, shingle, "both / size", containment, rank))
+    more = between(deep, saved(good.select("doc_id")), one, f"other_size <= {reach} * size", jac, n_hashes, one_each(signed(rows, shingle, N_WIDE, seed + 1), twice), N_WIDE)
+    good = good.union(checked(rows, more, twice, shingle, "both / size", containment, rank).select(good.columns))
     return same.union(good.select("doc_id", F.col("other").alias("duplicate_of"), F.col("score").alias("containment"), "size", "other_size"))
 
 

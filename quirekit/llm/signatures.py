@@ -94,14 +94,72 @@ def buckets(signs: DataFrame, schemes: list[tuple[int, int, bool, tuple[int, ...
     return signs.mapInArrow(run, "bucket bigint, size int, doc_id bigint, asks boolean, holds boolean")
 
 
-def linked(found: DataFrame, by: list) -> DataFrame:
+#: Holders of a bucket that are compared with under one key, where all of them are.
+BLOCK = 512
+
+
+def linked(found: DataFrame, by: list) -> tuple[DataFrame, DataFrame]:
     """Distinct (doc_id, other): each document that asks in a bucket with the first that is held there in the order `by`, and with the last before itself.
 
-    So a bucket of m members gives at most 2(m-1) links instead of m(m-1)/2 pairs."""
-    over = W.partitionBy("bucket").orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    So a bucket of m members gives at most 2(m-1) links instead of m(m-1)/2 pairs. The second table, for between(), has the members of the buckets that hold more than two:
+    (bucket, doc_id, asks, holds, place), where place is the number of those held before."""
+    order = W.partitionBy("bucket").orderBy(*by)
+    over, whole = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     held = F.when(F.col("holds"), F.col("doc_id"))
-    ends = found.select("doc_id", "asks", F.array(F.first(held, True).over(over), F.last(held, True).over(over)).alias("others"))
-    return ends.where("asks").select("doc_id", F.explode("others").alias("other")).where("other <> doc_id").distinct()
+    ends = found.select("bucket", "doc_id", "asks", "holds", F.array(F.first(held, True).over(over), F.last(held, True).over(over)).alias("others"), F.count(held).over(over).alias("place"), F.count(held).over(whole).alias("held"))
+    ends = saved(ends.where("asks and place > 0 or held > 2"))
+    links = ends.where("asks").select("doc_id", F.explode("others").alias("other")).where("other <> doc_id").distinct()
+    return links, ends.where("held > 2").select("bucket", "doc_id", "asks", "holds", "place")
+
+
+def between(deep: DataFrame, matched: DataFrame, signs: DataFrame, where: str, jaccard: str, n_hashes: int, wide: DataFrame | None = None, n_wide: int = 0) -> DataFrame:
+    """Links as of agreeing() of the documents that aren't in matched (saved, one column doc_id): with all that linked() passed over, those held between the first and the last before.
+
+    Pairs are compared where they are joined, and only those are kept that agree in enough hash functions for the similarity `jaccard` and are as `where` says (both of
+    size, other_size). With wide, signatures of n_wide other functions, they must agree in enough of those too: at low similarities n_hashes functions tell little.
+    A large bucket is split by the places of its holders, BLOCK to a key, so no task gets all of its pairs."""
+    n = n_hashes // 8
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rebatched(it, 2048):
+            sig = np.frombuffer(b"".join(column(batch, "sig").to_pylist()), np.uint32).reshape(-1, n_hashes).astype(np.uint8).view(np.int64)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "size"), *(pa.array(sig[:, i]) for i in range(n))], ["doc_id", "size", *(f"s{i}" for i in range(n))])
+
+    @F.pandas_udf("binary")
+    def low(sig):
+        import pandas as pd
+
+        return pd.Series([np.frombuffer(s, np.uint32).astype(np.uint8).tobytes() for s in sig])
+
+    @F.pandas_udf("int")
+    def alike(x, y):
+        import pandas as pd
+
+        left, right = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, n_wide) for s in (x, y))
+        return pd.Series((left == right).sum(axis=1).astype(np.int32))
+
+    asks = narrow_join(deep.where("asks and place > 2"), matched, "doc_id", "left_anti")
+    asks = saved(asks.select("bucket", "doc_id", "place"))
+    keys = saved(asks.groupBy("bucket").agg(F.max("place").alias("most")))
+    holds = narrow_join(deep.where("holds and place > 0"), keys, "bucket", "inner").where("place < most - 1").select("bucket", "doc_id", "place")
+    short = saved(signs.select("doc_id", "size", "sig").mapInArrow(run, "doc_id bigint, size int" + "".join(f", s{i} bigint" for i in range(n))))
+    if wide is not None:
+        short = saved(short.join(wide.select("doc_id", low("sig").alias("wide")), "doc_id"))
+    left = asks.join(short.hint("merge"), "doc_id").withColumn("block", F.explode(F.expr(f"sequence(0, cast((place - 2) div {BLOCK} as int))")))
+    right = holds.join(short.hint("merge"), "doc_id").select("bucket", F.expr(f"cast(place div {BLOCK} as int)").alias("block"), F.col("doc_id").alias("other"), F.col("size").alias("other_size"), F.col("place").alias("at"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(n)), *([] if wide is None else [F.col("wide").alias("other_wide")]))
+
+    def differ(i: int) -> str:
+        """The number of bytes in which s and t differ: each byte's bits are gathered in its lowest."""
+        x = f"(s{i} ^ t{i})"
+        for by in (4, 2, 1):
+            x = f"({x} | shiftrightunsigned({x}, {by}))"
+        return f"bit_count({x} & {0x0101010101010101})"
+
+    same = f"({n_hashes} - ({' + '.join(map(differ, range(n)))}))"
+    pairs = left.join(right.hint("merge"), ["bucket", "block"]).where(f"at < place - 1 and {where} and {same} >= {least_agreeing(n_hashes, jaccard)}")
+    if wide is not None:
+        pairs = pairs.where(alike("wide", "other_wide") >= F.expr(least_agreeing(n_wide, jaccard)))
+    return pairs.select("doc_id", "other", "size", "other_size", F.expr(same).cast("int").alias("agree")).dropDuplicates(["doc_id", "other"])
 
 
 def agreeing(links: DataFrame, signs: DataFrame, floor: str, n_hashes: int) -> DataFrame:
@@ -182,6 +240,11 @@ def known(signs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return table.drop("rows"), saved(table.where("rows > 1").select("doc_id", "size", "print"))
 
 
+def least_agreeing(n_hashes: int, jaccard: str) -> str:
+    """An SQL expression: so many of n_hashes functions agree at least, but for 1 in 200 pairs of this Jaccard similarity (by the arcsine of its root)."""
+    return f"greatest(1, floor({n_hashes} * power(sin(greatest(0, asin(sqrt({jaccard})) - 1.3 / sqrt({n_hashes}))), 2)))"
+
+
 def checked(docs: DataFrame, links: DataFrame, twice: DataFrame, k: int, score: str, least: float, rank: list) -> DataFrame:
     """Of each doc_id's links, the best that passes the exact check, as (doc_id, other, size, other_size, both, score).
 

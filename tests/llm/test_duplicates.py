@@ -91,6 +91,32 @@ def test_fingerprints_against_brute_force(docs_of):
         assert all((rows[i].fingerprint == rows[j].fingerprint) == (of[i] == of[j]) for j in list(of)[:20])
 
 
+def star(rng, edits, n=400):
+    """Copies of a text with words of their own, each nearer to the original than to one another; the original is in mid-order."""
+    base = prose(rng, 200, 100_000).split()
+    docs = []
+    for i in range(n):
+        new = list(base)
+        for j in rng.sample(range(len(base)), edits):
+            new[j] = f"own{i}n{j}"
+        docs.append((i, " ".join(base if i == n // 2 else new)))
+    return docs
+
+
+def test_originals_between_their_copies(docs_of):
+    docs = star(random.Random(8), 5)
+    of = sets(docs, 4)
+    want = {i for i in of for j in of if j < i and len(of[i] & of[j]) >= 0.8 * len(of[i] | of[j])}
+    got = {r.doc_id for r in fingerprints(docs_of(docs)).collect() if r.match_id is not None}
+    assert len(want) > 190 and got <= want and len(got) >= 0.97 * len(want)
+    docs = star(random.Random(9), 18)
+    of = sets(docs, 3)
+    order = lambda i: (-len(of[i]), i)
+    want = {i for i in of for j in of if order(j) < order(i) and len(of[i] & of[j]) >= 0.7 * len(of[i])}
+    got = {r.doc_id for r in nd.near_duplicates(docs_of(docs)).collect()}
+    assert len(want) > 150 and got <= want and len(got) >= 0.95 * len(want)
+
+
 def test_tuning():
     for t in (0.2, 0.5, 0.8):
         bands, rows = nd.tuned(t)
