@@ -27,22 +27,24 @@ ABOUT = {"path", "file", "filename", "dir", "url", "uri", "endpoint", "name", "i
 _HINT = r"(?i)pass|pwd|pw|secret|token|key|cred|auth|bearer|signature|webhook|dsn|connection|://"
 _PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*{2,}|\.{2,}|-+|_+|<.*>|\[.*\]|\{.*\}|%.*%|your[-_ ].*|my[-_ ]?(?:password|secret|token|key)|change[-_ ]?me|example.*|placeholder|redacted|none|null|nil|true|false|undefined|todo|tbd|test|dummy|sample|default|string|password|secret|token|n/?a)$")
 
-_STRING = r"\"\"\"(?:[^\"\\]|\\.|\"(?!\"\")){0,4000}\"\"\"|'''(?:[^'\\]|\\.|'(?!'')){0,4000}'''|[fFrRbBuU]{0,2}\"(?:[^\"\\\n]|\\.){0,4000}\"|[fFrRbBuU]{0,2}'(?:[^'\\\n]|\\.){0,4000}'|`(?:[^`\\]|\\.){0,4000}`"
-_NAME = r"[A-Za-z_$][A-Za-z0-9_.\-]{0,120}+"
-_BARE = r"[^\s\"'`,;()\[\]{}<>#|&]{1,4000}"
-_TERM = rf"(?:{_STRING}|\$\{{[A-Za-z_]\w{{0,80}}\}}|{_BARE})"
+# Repeats without a bound are possessive, so a literal is read to its end in one go. The last way of the lexer passes a long name that nothing is assigned to, which else were read again from each dot in it.
+_STRING = r"\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*+'''|[fFrRbBuU]{0,2}\"(?:[^\"\\\n]|\\.)*+\"|[fFrRbBuU]{0,2}'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`"
+_NAME = r"[A-Za-z_$][A-Za-z0-9_.\-]*+"
+_BARE = r"[^\s\"'`,;()\[\]{}<>#|&]++"
+_TERM = rf"(?:{_STRING}|\$\{{[A-Za-z_]\w*+\}}|{_BARE})"
 _LEXER = re.compile(
-    rf"(?P<url>\b[A-Za-z][A-Za-z0-9+.\-]{{1,30}}://(?P<user>[^\s:/@\"'<>]{{0,200}}):(?P<word>[^\s@/\"'<>]{{1,500}})@)"
-    rf"|<(?P<tag>[A-Za-z_][\w.\-]{{0,120}})(?:\s[^<>]{{0,300}})?>(?P<body>[^<>\n]{{1,4000}})</(?P=tag)\s*>"
-    rf"|--(?P<flag>[A-Za-z][\w\-]{{0,80}})[= ]\s?(?P<given>{_STRING}|{_BARE})"
-    rf"|\(\s*(?P<arg>\"[\w.\-]{{1,120}}\"|'[\w.\-]{{1,120}}')\s*,\s*(?P<argval>{_STRING})"
+    rf"(?P<url>\b[A-Za-z][A-Za-z0-9+.\-]{{1,30}}://(?P<user>[^\s:/@\"'<>]*+):(?P<word>[^\s@/\"'<>]++)@)"
+    rf"|<(?P<tag>[A-Za-z_][\w.\-]*+)(?:\s[^<>]*+)?>(?P<body>[^<>\n]++)</(?P=tag)\s*>"
+    rf"|--(?P<flag>[A-Za-z][\w\-]*+)[= ]\s?(?P<given>{_STRING}|{_BARE})"
+    rf"|\(\s*(?P<arg>\"[\w.\-]++\"|'[\w.\-]++')\s*,\s*(?P<argval>{_STRING})"
     rf"|(?<![\w$])(?P<call>{_NAME})\(\s*(?P<callval>{_STRING})\s*\)"
-    rf"|(?<![\w$])(?P<name>\"[\w.\- ]{{1,120}}\"|'[\w.\- ]{{1,120}}'|{_NAME})(?:\[(?P<sub>\"[^\"\n]{{1,120}}\"|'[^'\n]{{1,120}}')\])?"
+    rf"|(?<![\w$])(?P<name>\"[\w.\- ]++\"|'[\w.\- ]++'|{_NAME})(?:\[(?P<sub>\"[^\"\n]++\"|'[^'\n]++')\])?"
     rf"(?:[ \t]*:[ \t]*[A-Za-z][\w\[\]., ]{{0,60}}?(?==))?[ \t]*(?:=>|:=|\+=|=(?![=~])|:(?![:/=]))[ \t]*"
     rf"(?P<value>{_TERM}(?:[ \t]*[+.][ \t]*{_TERM}|[ \t]+(?:{_STRING}))*)"
+    r"|(?<![\w$])[A-Za-z_$][A-Za-z0-9_.\-]{120,}+(?!://)"
 )
-_PARTS = re.compile(rf"(?P<text>{_STRING})|(?P<ref>\$\{{?[A-Za-z_]\w{{0,80}}\}}?)|(?P<bare>{_BARE})")
-_INSIDE = re.compile(r"\$\{?([A-Za-z_]\w{0,80})\}?|\{([A-Za-z_]\w{0,80})\}")
+_PARTS = re.compile(rf"(?P<text>{_STRING})|(?P<ref>\$\{{?[A-Za-z_]\w*+\}}?)|(?P<bare>{_BARE})")
+_INSIDE = re.compile(r"\$\{?([A-Za-z_]\w*+)\}?|\{([A-Za-z_]\w*+)\}")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -175,7 +177,7 @@ def secrets(docs: DataFrame, least: float = 0.68) -> DataFrame:
 
     start and end are the characters of the first literal that the secret is made of, length is that of the whole value after
     constants are propagated. The score weighs how telling the name is (0.6) with how random the literal looks (0.4); names
-    about secrets (password_file) and placeholders score little. Texts are lexed whole, however long.
+    about secrets (password_file) and placeholders score little. Texts are lexed whole, and names and literals to their ends, however long.
 
     A null or empty text has no finding; rows with a null doc_id are scanned too and keep the null. Rows of one doc_id give their findings each.
     """

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import pytest
 from quirekit.llm import html_extraction as he
@@ -39,6 +40,26 @@ def test_constants_are_propagated_to_their_literals():
     assert pair.name == "secret" and pair.value == KEY and text[slice(*pair.spans[0])] == KEY
 
 
+LONG = "".join(random.Random(3).choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=10_000))
+
+
+@pytest.mark.parametrize(
+    "form",
+    ["api_key = '{}'", 'api_key = "{}"', 'api_key = """{}"""', "api_key = `{}`", "api_key={}", "db://user:{}@host/x", "db://" + "u" * 300 + ":{}@host/x", "<password>{}</password>", "--password {}", '("password", "{}")', "set_password('{}')"]
+    + ["n" * 200 + "_password = '{}'", '{{"' + "n" * 200 + '_password": "{}"}}', "conf['" + "n" * 200 + "_password'] = '{}'", "<" + "n" * 200 + "_password>{}</" + "n" * 200 + "_password>", "--" + "n" * 200 + "-password {}"],
+)
+def test_long_secrets_are_read_to_their_ends(form):
+    text = "before " + form.format(LONG) + " after"
+    assert [(p.value, p.spans) for p, _ in ss.findings(text)] == [(LONG, ((text.index(LONG), text.index(LONG) + len(LONG)),))]
+
+
+@pytest.mark.parametrize("text", ["a." * 50_000, "--a" * 50_000, "a-" * 50_000, "<a " * 50_000, "a:'" + "\\'" * 50_000, "a://b" * 50_000, "a=`b" * 50_001, '"a' * 50_000, "x" * 100_000])
+def test_long_texts_are_lexed_once(text):
+    began = time.process_time()
+    ss.pairs(text)
+    assert time.process_time() - began < 5
+
+
 def test_secrets_of_a_table(docs_of, odd, none):
     plain = prose(random.Random(2), 50_000)
     docs = docs_of([(1, f'{plain}\npassword = "{KEY}"\n{plain}'), (2, plain), (3, f'x "{KEY}"'), (4, f'token = "{KEY}"'), (4, f'token = "{KEY}"'), (None, f"api_key={KEY}")])
