@@ -96,7 +96,7 @@ def test_random_programs_against_an_interpreter():
             name = f"{rng.choice(['db', 'app', 'main'])}_{rng.choice(['password', 'api_key', 'auth_token']) if secret else rng.choice(['host', 'colour', 'part'])}_{'abcdefgh'[rng.randrange(8)]}{i}x"
             parts, value = [], ""
             for _ in range(rng.randrange(1, 4)):
-                if (free := [n for n in env if n not in parts]) and rng.random() < 0.5:
+                if (free := [n for n in env if env[n] not in [env.get(p) for p in parts]]) and rng.random() < 0.5:
                     ref = rng.choice(free)
                     parts.append(ref)
                     value += env[ref]
