@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to so many rows of a few numbers each; beyond it, both sides are shuffled.
 BROADCAST_ROWS = 500_000
+BATCH_ROWS = 2048
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,13 +29,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and a lost executor loses none of it."""
+    """df as a table in the shared folder: lineage ends there, and a lost executor loses none of it.
+
+    While it is made, Arrow batches have BATCH_ROWS rows at most, so that a batch of long texts or sets is not too large for a worker."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quirekit-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = int(spark.conf.get(_BATCH, "10000"))
+    small = rows <= 0 or rows > BATCH_ROWS
+    if small:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        if small:
+            spark.conf.set(_BATCH, str(rows))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def swept(df: DataFrame) -> None:
+    """Has the driver drop what it no longer refers to, and with that the shuffle files of the saved tables before this."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def narrow_join(wide: DataFrame, narrow: DataFrame, on: str | list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """wide joined with a saved table of a few numbers a row: broadcast if its rows, counted first, are few enough, else both sides are shuffled."""
     return wide.join(F.broadcast(narrow) if narrow.count() <= limit else narrow.hint("merge"), on, how)
@@ -49,6 +68,20 @@ def rebatched(it: Iterator[pa.RecordBatch], rows: int = 1 << 14) -> Iterator[pa.
             yield batch.slice(a, rows)
 
 
+def id_type(df: DataFrame, name: str = "doc_id") -> str:
+    """The type of an id in SQL: bigint for all whole numbers, its own for others."""
+    kind = df.schema[name].dataType.simpleString()
+    return "bigint" if kind in ("tinyint", "smallint", "int", "bigint", "void") else kind
+
+
 def prepared(docs: DataFrame) -> DataFrame:
-    """doc_id as a bigint and text as a string, of the rows that have both."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    """doc_id (whole numbers as bigint, others as they are) and text as a string, of the rows that have both."""
+    return docs.select(F.col("doc_id").cast(id_type(docs)).alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have: `name`, with underscores before it as needed."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name

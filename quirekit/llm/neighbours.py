@@ -271,7 +271,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = EVERY, shard_rows: int
         return pd.DataFrame({"shard": [key[0]], "dim": [dim], "start": [g.start], "vectors": [distinct.tobytes()], "edges": [g.edges.tobytes()], "ids": [ids[by].tobytes()], "copies": [np.bincount(owner.ravel()).astype(np.int32).tobytes()]})
 
     shard = (F.col("begin") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("shard")
-    index = saved(x.join(cells, "cell").select("vec_id", "cell", "vec", shard).groupBy("shard").applyInPandas(build, "shard int, dim int, start int, vectors binary, edges binary, ids binary, copies binary"))
+    index = saved(x.join(cells, "cell").select("vec_id", "cell", "vec", shard).repartition(begin[-1], "shard").groupBy("shard").applyInPandas(build, "shard int, dim int, start int, vectors binary, edges binary, ids binary, copies binary"))
     visits = F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("parts") - 1)).alias("shard")
     asks = saved(x.where(F.expr(f"pmod(vec_id, {every}) = 0")))
     own = saved(_searched(index, saved(asks.join(cells, "cell").select(visits, "vec_id", "vec")), begin[-1], k, beam, task_queries))

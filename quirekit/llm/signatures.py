@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quirekit.llm.common import column, narrow_join, rebatched, saved
+from quirekit.llm.common import column, id_type, narrow_join, rebatched, saved
 from quirekit.llm.words import U64, batches, mix, shingles, words
 
+#: The second look takes about so many shingles of a document, twice as many at most; it misses a pair at the threshold with this probability.
+SAMPLES, MISS = 16, 0.005
+#: Bits of the filter of asked shingles: its size is the same whatever the data. The fuller it is, the more shingles are moved.
+BLOOM_BITS = 1 << 26
+
 
 def permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Odd multipliers and addends of n hash functions (a*x + b mod 2^64) >> 32 over 32-bit x, a strongly universal family."""
@@ -32,43 +38,43 @@ def signature(x: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int = 512) -> n
 
 
 def sets_of(texts: list[str], k: int) -> Iterator[np.ndarray]:
-    """Each text's set of shingles as sorted 32-bit hashes."""
+    """Each text's set of shingles as sorted 64-bit hashes."""
     for lo, hi in batches(texts):
         h, _, _, first, _ = words(texts[lo:hi])
         x, at = shingles(h, first, k)
-        x = (x >> U64(32)).astype(np.uint32)
         for i in range(hi - lo):
             yield np.unique(x[at[i] : at[i + 1]])
 
 
-def print_of(s: np.ndarray) -> int:
-    """A 64-bit hash of a set of 32-bit hashes, as a signed number."""
-    whole = int(mix(np.array([mix(s.astype(np.uint64) + U64(1)).sum() + U64(len(s))], np.uint64))[0])
-    return whole - (1 << 64) if whole >> 63 else whole
+def print_of(s: np.ndarray) -> bytes:
+    """A 128-bit hash of a set of 64-bit hashes: two sets of one print are taken for the same."""
+    n = U64(len(s))
+    return b"".join(int(mix(np.array([mix(s ^ U64(salt)).sum() + n], np.uint64))[0]).to_bytes(8, "big") for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 
 def signed(docs: DataFrame, k: int, n_hashes: int, seed: int) -> DataFrame:
-    """(doc_id, size, print, sig) of each text that has a word: the size of its shingle set, a 64-bit hash of the set, and its signature."""
+    """(doc_id, size, print, sig) of each text that has a word: the size of its shingle set, a 128-bit hash of the set, and its signature."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = permutations(n_hashes, seed)
         for batch in rebatched(it, 2048):
-            ids = column(batch, "doc_id").to_pylist()
-            out: list[list] = [[], [], [], []]
-            for i, s in zip(ids, sets_of(column(batch, "text").to_pylist(), k)):
+            ids = column(batch, "doc_id")
+            at, out = [], [[], [], []]
+            for i, s in enumerate(sets_of(column(batch, "text").to_pylist(), k)):
                 if len(s):
-                    for x, v in zip(out, (i, len(s), print_of(s), signature(s.astype(np.uint64), a, b).tobytes())):
+                    at.append(i)
+                    for x, v in zip(out, (len(s), print_of(s), signature(s >> U64(32), a, b).tobytes())):
                         x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["doc_id", "size", "print", "sig"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["doc_id", "size", "print", "sig"])
 
-    return docs.mapInArrow(run, "doc_id bigint, size int, print bigint, sig binary")
+    return docs.mapInArrow(run, f"doc_id {id_type(docs)}, size int, print binary, sig binary")
 
 
-def buckets(signs: DataFrame, schemes: list[tuple[int, int, bool, tuple[int, ...]]], by_size: bool = True) -> DataFrame:
-    """(bucket, size, doc_id, asks, holds) for the bands of each scheme (bands, rows, within, gaps), which are the first of the signature.
+def buckets(signs: DataFrame, schemes: dict[int, tuple[int, int]], by_size: bool = True) -> DataFrame:
+    """(bucket, size, doc_id, holds) for the bands of each scheme, gap: (bands, rows), which are the first of the signature.
 
     Documents are partitioned by the power of 2 of their size. A scheme has buckets in each partition: the documents of the
-    partition are held there and, if within, ask there; those of the partition that is smaller by a gap also ask there.
+    partition are held there, and those of the partition that is smaller by the gap ask there; at gap 0 all that are held ask, too.
     Without by_size there is one partition."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,90 +82,120 @@ def buckets(signs: DataFrame, schemes: list[tuple[int, int, bool, tuple[int, ...
             if not batch.num_rows:
                 continue
             sig = np.frombuffer(b"".join(column(batch, "sig").to_pylist()), np.uint32).reshape(batch.num_rows, -1).astype(np.uint64)
-            size, ids = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("size", "doc_id"))
-            part = np.floor(np.log2(size)).astype(np.uint64) * U64(by_size)
-            for n, (bands, rows, within, gaps) in enumerate(schemes):
+            size, ids = column(batch, "size"), column(batch, "doc_id")
+            part = np.floor(np.log2(size.to_numpy(zero_copy_only=False))).astype(np.uint64) * U64(by_size)
+            for gap, (bands, rows) in schemes.items():
                 values = sig[:, : bands * rows].reshape(len(sig), bands, rows)
-                acc = np.broadcast_to(np.arange(bands, dtype=np.uint64) + U64(1 + 4096 * n), values.shape[:2]).copy()
+                acc = np.broadcast_to(np.arange(bands, dtype=np.uint64) + U64(1 + 4096 * gap), values.shape[:2]).copy()
                 for r in range(rows):
                     acc = mix(acc * U64(0x9E3779B97F4A7C15) + values[:, :, r])
-                for gap in (0, *gaps):
-                    key = mix(acc + (part + U64(gap))[:, None])
-                    m = key.size
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(size, bands)), pa.array(np.repeat(ids, bands)), pa.array(np.full(m, within or gap > 0)), pa.array(np.full(m, gap == 0))],
-                        ["bucket", "size", "doc_id", "asks", "holds"],
-                    )
-
-    return signs.mapInArrow(run, "bucket bigint, size int, doc_id bigint, asks boolean, holds boolean")
-
-
-#: Holders of a bucket that are compared with under one key, where all of them are.
-BLOCK = 512
-
-
-def linked(found: DataFrame, by: list) -> tuple[DataFrame, DataFrame]:
-    """Distinct (doc_id, other): each document that asks in a bucket with the first that is held there in the order `by`, and with the last before itself.
-
-    So a bucket of m members gives at most 2(m-1) links instead of m(m-1)/2 pairs. The second table, for between(), has the members of the buckets that hold more than two:
-    (bucket, doc_id, asks, holds, place), where place is the number of those held before."""
-    order = W.partitionBy("bucket").orderBy(*by)
-    over, whole = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    held = F.when(F.col("holds"), F.col("doc_id"))
-    ends = found.select("bucket", "doc_id", "asks", "holds", F.array(F.first(held, True).over(over), F.last(held, True).over(over)).alias("others"), F.count(held).over(over).alias("place"), F.count(held).over(whole).alias("held"))
-    ends = saved(ends.where("asks and place > 0 or held > 2"))
-    links = ends.where("asks").select("doc_id", F.explode("others").alias("other")).where("other <> doc_id").distinct()
-    return links, ends.where("held > 2").select("bucket", "doc_id", "asks", "holds", "place")
-
-
-def between(deep: DataFrame, matched: DataFrame, signs: DataFrame, where: str, jaccard: str, n_hashes: int, wide: DataFrame | None = None, n_wide: int = 0) -> DataFrame:
-    """Links as of agreeing() of the documents that aren't in matched (saved, one column doc_id): with all that linked() passed over, those held between the first and the last before.
-
-    Pairs are compared where they are joined, and only those are kept that agree in enough hash functions for the similarity `jaccard` and are as `where` says (both of
-    size, other_size). With wide, signatures of n_wide other functions, they must agree in enough of those too: at low similarities n_hashes functions tell little.
-    A large bucket is split by the places of its holders, BLOCK to a key, so no task gets all of its pairs."""
-    n = n_hashes // 8
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rebatched(it, 2048):
-            sig = np.frombuffer(b"".join(column(batch, "sig").to_pylist()), np.uint32).reshape(-1, n_hashes).astype(np.uint8).view(np.int64)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "size"), *(pa.array(sig[:, i]) for i in range(n))], ["doc_id", "size", *(f"s{i}" for i in range(n))])
-
-    @F.pandas_udf("binary")
-    def low(sig):
-        import pandas as pd
-
-        return pd.Series([np.frombuffer(s, np.uint32).astype(np.uint8).tobytes() for s in sig])
-
-    @F.pandas_udf("int")
-    def alike(x, y):
-        import pandas as pd
+                each = pa.array(np.repeat(np.arange(len(sig)), bands))
+                for holds in (True, False) if gap else (True,):
+                    key = mix(acc + (part if holds else part + U64(gap))[:, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), size.take(each), ids.take(each), pa.array(np.full(key.size, holds)), pa.array(np.full(key.size, not holds or gap == 0))], ["bucket", "size", "doc_id", "holds", "asks"])
+
+    return signs.mapInArrow(run, f"bucket bigint, size int, doc_id {id_type(signs)}, holds boolean, asks boolean")
+
+
+def linked(found: DataFrame, largest: bool) -> DataFrame:
+    """Distinct (doc_id, other): each document that asks in a bucket with the first that is held there, the largest or else that of the smallest doc_id.
+
+    The firsts are plain aggregates, combined before they are shuffled, and the join that brings them back has one row to a bucket on
+    their side, so a hot bucket is split among tasks. A bucket of m members gives m links at most."""
+    order = F.struct(-F.col("size"), "doc_id") if largest else F.struct("doc_id")
+    held = F.when(F.col("holds"), order)
+    heads = found.groupBy("bucket").agg(F.min(held).alias("head"), F.count("*").alias("n")).where("n > 1 and head is not null").select("bucket", F.col("head.doc_id").alias("other"))
+    return found.where("asks").select("bucket", "doc_id").join(heads, "bucket").where("other <> doc_id").select("doc_id", "other").distinct()
+
+
+def least_shared(n: np.ndarray, share: float) -> np.ndarray:
+    """Of n samples of which each is in the other set with probability `share`: one more than are missing there but with probability MISS. So many of the rarest are enough to ask with."""
+    table = {}
+    for k in np.unique(n).tolist():
+        tail, t = 1.0, 0
+        while t < k and tail > MISS:
+            tail -= math.comb(k, t) * (1 - share) ** t * share ** (k - t)
+            t += 1
+        table[k] = max(1, t)
+    return np.array([table[k] for k in n.tolist()], np.int32)
+
+
+def _filter(asks: DataFrame) -> np.ndarray:
+    """A Bloom filter of the keys in asks, of BLOOM_BITS bits: words of it are aggregated, so that is also the most that comes to the driver."""
+    words_of = BLOOM_BITS // 64
+    bits = [F.struct(F.expr(f"cast((shiftrightunsigned(key, {a}) & {words_of - 1}) as int)").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {b}) & 63 as int))").alias("bit")) for a, b in ((0, 20), (26, 46))]
+    got = asks.select(F.explode(F.array(*bits)).alias("b")).groupBy("b.word").agg(F.bit_or("b.bit").alias("bits")).toArrow()
+    out = np.zeros(words_of, np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _passes(x: np.ndarray, bloom: np.ndarray) -> np.ndarray:
+    m = U64(len(bloom) - 1)
+    one = U64(1)
+    return ((bloom[(x & m).astype(np.int64)] >> (x >> U64(20) & U64(63))) & (bloom[(x >> U64(26) & m).astype(np.int64)] >> (x >> U64(46) & U64(63))) & one).astype(bool)
+
+
+def sought(docs: DataFrame, signs: DataFrame, matched: DataFrame, twice: DataFrame, k: int, share: float, before: str) -> DataFrame:
+    """(doc_id, other, size, other_size, agree): candidates of the documents in signs that aren't in matched (saved, one column doc_id), whatever the others' sizes.
+
+    Each takes its shingles whose hash is under a rate that depends on its size, SAMPLES to twice as many. If another set holds `share` of its own, it
+    holds one of its rarest few at least (see least_shared), so it asks with those, and shingles that are common to many texts are asked with by
+    texts that have little else. All documents hold all their shingles; a Bloom filter of the asked ones is sent to the scan, so only those are moved. `before` says
+    which others count, by (doc_id, size, other, other_size); agree is the number of asked shingles that other holds."""
+    kind = id_type(docs)
+    left = saved(narrow_join(signs.select("doc_id", "size", "print"), matched, "doc_id", "left_anti"))
+
+    def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rebatched(it, 1024):
+            at, keys, size, prints, limit, n = [], [], [], [], [], []
+            for i, s in enumerate(sets_of(column(batch, "text").to_pylist(), k)):
+                if len(s):
+                    part = int(math.log2(len(s)))
+                    own = s[mix(s) <= U64(min((1 << 64) - 1, (SAMPLES << 64) >> part))]
+                    at += [i] * len(own)
+                    keys.append(own)
+                    n.append(np.full(len(own), len(own)))
+                    size += [len(s)] * len(own)
+                    prints += [print_of(s)] * len(own)
+            n_all = np.concatenate(n) if n else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "doc_id").take(pa.array(at, pa.int64())), pa.array(size, pa.int32()), pa.array(prints, pa.binary()), pa.array((np.concatenate(keys) if keys else np.zeros(0, np.uint64)).view(np.int64)), pa.array(n_all.astype(np.int32)), pa.array(least_shared(n_all, share))],
+                ["doc_id", "size", "print", "key", "n", "enough"],
+            )
 
-        left, right = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, n_wide) for s in (x, y))
-        return pd.Series((left == right).sum(axis=1).astype(np.int32))
+    texts = narrow_join(docs, saved(left.select("doc_id")), "doc_id", "left_semi")
+    asks = texts.mapInArrow(ask, f"doc_id {kind}, size int, print binary, key bigint, n int, enough int")
+    if not twice.isEmpty():
+        asks = asks.join(left.hint("merge"), ["doc_id", "size", "print"], "left_semi").dropDuplicates(["doc_id", "key"])
+    asks = saved(asks.drop("print"))
+    bloom = docs.sparkSession.sparkContext.broadcast(_filter(asks))
+
+    def hold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rebatched(it, 1024):
+            at, keys, size, prints = [], [], [], []
+            for i, s in enumerate(sets_of(column(batch, "text").to_pylist(), k)):
+                own = s[_passes(s, bloom.value)]
+                if len(own):
+                    at.append(np.full(len(own), i))
+                    keys.append(own)
+                    size.append(np.full(len(own), len(s), np.int32))
+                    prints += [print_of(s)] * len(own) if several else []
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "doc_id").take(pa.array(np.concatenate(at) if at else [], pa.int64())), pa.array(np.concatenate(size) if size else [], pa.int32()), pa.array(prints if several else [None] * sum(map(len, keys)), pa.binary()), pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64())],
+                ["doc_id", "size", "print", "key"],
+            )
 
-    asks = narrow_join(deep.where("asks and place > 2"), matched, "doc_id", "left_anti")
-    asks = saved(asks.select("bucket", "doc_id", "place"))
-    keys = saved(asks.groupBy("bucket").agg(F.max("place").alias("most")))
-    holds = narrow_join(deep.where("holds and place > 0"), keys, "bucket", "inner").where("place < most - 1").select("bucket", "doc_id", "place")
-    short = saved(signs.select("doc_id", "size", "sig").mapInArrow(run, "doc_id bigint, size int" + "".join(f", s{i} bigint" for i in range(n))))
-    if wide is not None:
-        short = saved(short.join(wide.select("doc_id", low("sig").alias("wide")), "doc_id"))
-    left = asks.join(short.hint("merge"), "doc_id").withColumn("block", F.explode(F.expr(f"sequence(0, cast((place - 2) div {BLOCK} as int))")))
-    right = holds.join(short.hint("merge"), "doc_id").select("bucket", F.expr(f"cast(place div {BLOCK} as int)").alias("block"), F.col("doc_id").alias("other"), F.col("size").alias("other_size"), F.col("place").alias("at"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(n)), *([] if wide is None else [F.col("wide").alias("other_wide")]))
-
-    def differ(i: int) -> str:
-        """The number of bytes in which s and t differ: each byte's bits are gathered in its lowest."""
-        x = f"(s{i} ^ t{i})"
-        for by in (4, 2, 1):
-            x = f"({x} | shiftrightunsigned({x}, {by}))"
-        return f"bit_count({x} & {0x0101010101010101})"
-
-    same = f"({n_hashes} - ({' + '.join(map(differ, range(n)))}))"
-    pairs = left.join(right.hint("merge"), ["bucket", "block"]).where(f"at < place - 1 and {where} and {same} >= {least_agreeing(n_hashes, jaccard)}")
-    if wide is not None:
-        pairs = pairs.where(alike("wide", "other_wide") >= F.expr(least_agreeing(n_wide, jaccard)))
-    return pairs.select("doc_id", "other", "size", "other_size", F.expr(same).cast("int").alias("agree")).dropDuplicates(["doc_id", "other"])
+    several = not twice.isEmpty()
+    held = docs.mapInArrow(hold, f"doc_id {kind}, size int, print binary, key bigint")
+    held = saved(one_each(held, twice, ["doc_id", "key"]).select("doc_id", "size", "key"))
+    counts = held.groupBy("key").agg(F.count("*").alias("n_holders")).where("n_holders > 1")
+    some = asks.join(counts, "key")
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy("n_holders", "key"))
+    few = some.withColumn("place", rank + F.col("n") - F.count("*").over(W.partitionBy("doc_id"))).where("place <= enough").select("key", "doc_id", "size")
+    holds = held.select("key", F.col("doc_id").alias("other"), F.col("size").alias("other_size"))
+    pairs = few.join(holds, "key").where(f"doc_id <> other and {before}")
+    return pairs.groupBy("doc_id", "other", "size", "other_size").agg(F.count("*").cast("int").alias("agree"))
 
 
 def agreeing(links: DataFrame, signs: DataFrame, floor: str, n_hashes: int) -> DataFrame:
@@ -193,11 +229,11 @@ def needed_sets(docs: DataFrame, ids: DataFrame, twice: DataFrame, k: int) -> Da
         for batch in rebatched(it, 512):
             sets = list(sets_of(column(batch, "text").to_pylist(), k))
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([print_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "size", "print", "items"]
+                [column(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([print_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "size", "print", "items"]
             )
 
-    found = narrow_join(docs, ids, "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, size int, print bigint, items binary")
-    return one_each(found, twice).select("doc_id", "items")
+    found = narrow_join(docs, ids, "doc_id", "left_semi").mapInArrow(run, f"doc_id {id_type(docs)}, size int, print binary, items binary")
+    return one_each(found, twice, ["doc_id"]).select("doc_id", "items")
 
 
 def shared(links: DataFrame, sets: DataFrame) -> DataFrame:
@@ -208,7 +244,7 @@ def shared(links: DataFrame, sets: DataFrame) -> DataFrame:
         import pandas as pd
 
         def both(p: bytes, q: bytes) -> int:
-            s, t = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
+            s, t = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
             if len(s) > len(t):
                 s, t = t, s
             at = np.searchsorted(t, s)
@@ -223,26 +259,22 @@ def shared(links: DataFrame, sets: DataFrame) -> DataFrame:
     return left.join(other.hint("merge"), "other").select(*links.columns, common("items", "other_items").alias("both"))
 
 
-def one_each(rows: DataFrame, twice: DataFrame) -> DataFrame:
-    """rows (doc_id, size, print, ...) with one of each doc_id: where it comes with several texts, that in twice (doc_id, size, print; saved)."""
+def one_each(rows: DataFrame, twice: DataFrame, by: list[str]) -> DataFrame:
+    """rows (doc_id, size, print, ...), one for each value of `by`: where a doc_id comes with several rows, those of its text in twice (doc_id, size, print; saved)."""
     if twice.isEmpty():
         return rows
-    chosen = narrow_join(rows, twice, ["doc_id", "size", "print"], "left_semi").dropDuplicates(["doc_id"])
+    chosen = narrow_join(rows, twice, ["doc_id", "size", "print"], "left_semi").dropDuplicates(by)
     return narrow_join(rows, twice.select("doc_id"), "doc_id", "left_anti").union(chosen)
 
 
 def known(signs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of signs (saved): (doc_id, size, print, first) of each doc_id, and (doc_id, size, print) of those that come with several texts.
+    """Of signs (saved): (doc_id, size, print, first) of each doc_id, and (doc_id, size, print) of those that come with several rows.
 
     The text of the largest shingle set, then of the largest hash, stands for a doc_id; first is the smallest doc_id of the same set. Only these numbers are moved, no signatures."""
-    best = signs.groupBy("doc_id").agg(F.max(F.struct("size", "print")).alias("s"), F.count("*").alias("rows")).select("doc_id", "s.*", "rows")
-    table = saved(best.withColumn("first", F.min("doc_id").over(W.partitionBy("print", "size"))))
-    return table.drop("rows"), saved(table.where("rows > 1").select("doc_id", "size", "print"))
-
-
-def least_agreeing(n_hashes: int, jaccard: str) -> str:
-    """An SQL expression: so many of n_hashes functions agree at least, but for 1 in 200 pairs of this Jaccard similarity (by the arcsine of its root)."""
-    return f"greatest(1, floor({n_hashes} * power(sin(greatest(0, asin(sqrt({jaccard})) - 1.3 / sqrt({n_hashes}))), 2)))"
+    best = saved(signs.groupBy("doc_id").agg(F.max(F.struct("size", "print")).alias("s"), F.count("*").alias("rows")).select("doc_id", "s.*", "rows"))
+    firsts = best.groupBy("print", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    table = best.join(firsts, ["print", "size"], "left").select("doc_id", "size", "print", F.coalesce("first", "doc_id").alias("first"))
+    return saved(table), saved(best.where("rows > 1").select("doc_id", "size", "print"))
 
 
 def checked(docs: DataFrame, links: DataFrame, twice: DataFrame, k: int, score: str, least: float, rank: list) -> DataFrame:
