@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from quirekit.llm.common import column, id_type, narrow_join, rebatched, saved
 from quirekit.llm.words import U64, batches, mix, shingles, words
 
-#: The second look takes about so many shingles of a document, twice as many at most; it misses a pair at the threshold with this probability.
-SAMPLES, MISS = 16, 0.005
+#: The second look takes about so many shingles of a document, twice as many at most, first to see whether others have enough of them, and then to find which; in each round it misses
+#: a pair at the threshold with this probability.
+SAMPLES, MISS = (16, 128), 0.025
 #: Bits of the filter of asked shingles: its size is the same whatever the data. The fuller it is, the more shingles are moved.
 BLOOM_BITS = 1 << 26
 
@@ -108,8 +109,10 @@ def linked(found: DataFrame, largest: bool) -> DataFrame:
     return found.where("asks").select("bucket", "doc_id").join(heads, "bucket").where("other <> doc_id").select("doc_id", "other").distinct()
 
 
-def least_shared(n: np.ndarray, share: float) -> np.ndarray:
-    """Of n samples of which each is in the other set with probability `share`: one more than are missing there but with probability MISS. So many of the rarest are enough to ask with."""
+def least_shared(n: np.ndarray, size: np.ndarray, share: float) -> np.ndarray:
+    """How many of the rarest of n samples, of a set of that size, are enough to ask with: one more than can be missing in a set that holds `share` of it.
+
+    Where all of the set are samples that is exact; else each is missing with probability 1 - share, and as many as are missing but with probability MISS are."""
     table = {}
     for k in np.unique(n).tolist():
         tail, t = 1.0, 0
@@ -117,7 +120,8 @@ def least_shared(n: np.ndarray, share: float) -> np.ndarray:
             tail -= math.comb(k, t) * (1 - share) ** t * share ** (k - t)
             t += 1
         table[k] = max(1, t)
-    return np.array([table[k] for k in n.tolist()], np.int32)
+    exact = n - np.ceil(share * n - 1e-9) + 1
+    return np.where(n == size, exact, [table[k] for k in n.tolist()]).astype(np.int32)
 
 
 def _filter(asks: DataFrame) -> np.ndarray:
@@ -136,42 +140,38 @@ def _passes(x: np.ndarray, bloom: np.ndarray) -> np.ndarray:
     return ((bloom[(x & m).astype(np.int64)] >> (x >> U64(20) & U64(63))) & (bloom[(x >> U64(26) & m).astype(np.int64)] >> (x >> U64(46) & U64(63))) & one).astype(bool)
 
 
-def sought(docs: DataFrame, signs: DataFrame, matched: DataFrame, twice: DataFrame, k: int, share: float, before: str) -> DataFrame:
-    """(doc_id, other, size, other_size, agree): candidates of the documents in signs that aren't in matched (saved, one column doc_id), whatever the others' sizes.
-
-    Each takes its shingles whose hash is under a rate that depends on its size, SAMPLES to twice as many. If another set holds `share` of its own, it
-    holds one of its rarest few at least (see least_shared), so it asks with those, and shingles that are common to many texts are asked with by
-    texts that have little else. All documents hold all their shingles; a Bloom filter of the asked ones is sent to the scan, so only those are moved. `before` says
-    which others count, by (doc_id, size, other, other_size); agree is the number of asked shingles that other holds."""
-    kind = id_type(docs)
-    left = saved(narrow_join(signs.select("doc_id", "size", "print"), matched, "doc_id", "left_anti"))
+def _asked(docs: DataFrame, left: DataFrame, twice: DataFrame, k: int, share: float, samples: int) -> DataFrame:
+    """(doc_id, size, key, n, enough), saved: the sampled shingles of the documents in left (doc_id, size, print; saved), their number and how many of the rarest are enough to ask with."""
 
-    def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(it, 1024):
-            at, keys, size, prints, limit, n = [], [], [], [], [], []
+            at, keys, size, prints, n = [], [], [], [], []
             for i, s in enumerate(sets_of(column(batch, "text").to_pylist(), k)):
                 if len(s):
-                    part = int(math.log2(len(s)))
-                    own = s[mix(s) <= U64(min((1 << 64) - 1, (SAMPLES << 64) >> part))]
-                    at += [i] * len(own)
+                    own = s[mix(s) <= U64(min((1 << 64) - 1, (samples << 64) >> int(math.log2(len(s)))))]
+                    at.append(np.full(len(own), i))
                     keys.append(own)
                     n.append(np.full(len(own), len(own)))
-                    size += [len(s)] * len(own)
-                    prints += [print_of(s)] * len(own)
-            n_all = np.concatenate(n) if n else np.zeros(0, np.int64)
+                    size.append(np.full(len(own), len(s), np.int32))
+                    prints += [print_of(s)] * len(own) if several else [None] * len(own)
+            at, n, size = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (at, n, size))
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id").take(pa.array(at, pa.int64())), pa.array(size, pa.int32()), pa.array(prints, pa.binary()), pa.array((np.concatenate(keys) if keys else np.zeros(0, np.uint64)).view(np.int64)), pa.array(n_all.astype(np.int32)), pa.array(least_shared(n_all, share))],
+                [column(batch, "doc_id").take(pa.array(at, pa.int64())), pa.array(size, pa.int32()), pa.array(prints, pa.binary()), pa.array((np.concatenate(keys) if keys else np.zeros(0, np.uint64)).view(np.int64)), pa.array(n, pa.int32()), pa.array(least_shared(n, size, share))],
                 ["doc_id", "size", "print", "key", "n", "enough"],
             )
 
-    texts = narrow_join(docs, saved(left.select("doc_id")), "doc_id", "left_semi")
-    asks = texts.mapInArrow(ask, f"doc_id {kind}, size int, print binary, key bigint, n int, enough int")
-    if not twice.isEmpty():
+    several = not twice.isEmpty()
+    asks = narrow_join(docs, left.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, f"doc_id {id_type(docs)}, size int, print binary, key bigint, n int, enough int")
+    if several:
         asks = asks.join(left.hint("merge"), ["doc_id", "size", "print"], "left_semi").dropDuplicates(["doc_id", "key"])
-    asks = saved(asks.drop("print"))
+    return saved(asks.drop("print"))
+
+
+def _held(docs: DataFrame, asks: DataFrame, twice: DataFrame, k: int) -> DataFrame:
+    """(doc_id, size, key): the documents' shingles that are asked for, and some that pass the filter by chance."""
     bloom = docs.sparkSession.sparkContext.broadcast(_filter(asks))
 
-    def hold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(it, 1024):
             at, keys, size, prints = [], [], [], []
             for i, s in enumerate(sets_of(column(batch, "text").to_pylist(), k)):
@@ -180,17 +180,33 @@ def sought(docs: DataFrame, signs: DataFrame, matched: DataFrame, twice: DataFra
                     at.append(np.full(len(own), i))
                     keys.append(own)
                     size.append(np.full(len(own), len(s), np.int32))
-                    prints += [print_of(s)] * len(own) if several else []
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id").take(pa.array(np.concatenate(at) if at else [], pa.int64())), pa.array(np.concatenate(size) if size else [], pa.int32()), pa.array(prints if several else [None] * sum(map(len, keys)), pa.binary()), pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64())],
-                ["doc_id", "size", "print", "key"],
-            )
+                    prints += [print_of(s)] * len(own) if several else [None] * len(own)
+            at, size = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (at, size))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(pa.array(at, pa.int64())), pa.array(size, pa.int32()), pa.array(prints, pa.binary()), pa.array((np.concatenate(keys) if keys else np.zeros(0, np.uint64)).view(np.int64))], ["doc_id", "size", "print", "key"])
 
     several = not twice.isEmpty()
-    held = docs.mapInArrow(hold, f"doc_id {kind}, size int, print binary, key bigint")
-    held = saved(one_each(held, twice, ["doc_id", "key"]).select("doc_id", "size", "key"))
-    counts = held.groupBy("key").agg(F.count("*").alias("n_holders")).where("n_holders > 1")
-    some = asks.join(counts, "key")
+    held = docs.mapInArrow(run, f"doc_id {id_type(docs)}, size int, print binary, key bigint")
+    return one_each(held, twice, ["doc_id", "key"]).select("doc_id", "size", "key")
+
+
+def sought(docs: DataFrame, signs: DataFrame, matched: DataFrame, twice: DataFrame, k: int, share: float, before: str) -> DataFrame:
+    """(doc_id, other, size, other_size, agree): candidates of the documents in signs that aren't in matched (saved, one column doc_id), whatever the others' sizes.
+
+    Each takes its shingles whose hash is under a rate that depends on its size. A set of which another holds `share` has few samples that no other set
+    holds (see least_shared), and most documents drop out by that. The rest take more samples. If another set holds `share` of them, it
+    holds one of the rarest few at least, so they ask with those, and with shingles that are common to many texts only if they have little else. All
+    documents hold all their shingles; a Bloom filter of the asked ones is sent to the scan, so only those are moved. `before` says
+    which others count, by (doc_id, size, other, other_size); agree is the number of asked shingles that other holds."""
+    left = saved(narrow_join(signs.select("doc_id", "size", "print"), matched, "doc_id", "left_anti"))
+    for samples in SAMPLES:
+        asks = _asked(docs, left, twice, k, share, samples)
+        held = _held(docs, asks, twice, k)
+        held = held if samples != SAMPLES[-1] else saved(held)
+        counts = held.groupBy("key").agg(F.count("*").alias("n_holders")).where("n_holders > 1")
+        some = asks.join(counts, "key")
+        enough = some.groupBy("doc_id").agg(F.count("*").alias("n_held"), F.first("n").alias("n"), F.first("enough").alias("enough")).where("n_held > n - enough").select("doc_id")
+        if samples != SAMPLES[-1]:
+            left = saved(left.join(enough, "doc_id", "left_semi"))
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy("n_holders", "key"))
     few = some.withColumn("place", rank + F.col("n") - F.count("*").over(W.partitionBy("doc_id"))).where("place <= enough").select("key", "doc_id", "size")
     holds = held.select("key", F.col("doc_id").alias("other"), F.col("size").alias("other_size"))

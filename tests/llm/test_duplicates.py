@@ -113,9 +113,10 @@ def test_sets_are_told_apart():
     texts = [f"a{i} b{i % 7}" for i in range(300_000)]
     assert len({sg.print_of(s) for s in sg.sets_of(texts, 3)}) == len(texts)
     n = np.arange(1, 40)
-    t = sg.least_shared(n, 0.7)
+    t, exact = sg.least_shared(n, n + 1, 0.7), sg.least_shared(n, n, 0.7)
     rng = np.random.default_rng(4)
-    assert (t <= n).all() and all((rng.random((4000, k)) < 0.3).sum(axis=1).__ge__(m).mean() < 0.012 or m == k for k, m in zip(n, t))
+    assert (t <= n).all() and all(((rng.random((4000, k)) < 0.3).sum(axis=1) >= m).mean() < 0.04 or m == k for k, m in zip(n, t))
+    assert all(k - m + 1 >= 0.7 * k - 1e-9 > k - m - 1e-9 for k, m in zip(n.tolist(), exact.tolist()))
 
 
 def test_string_ids(spark, docs_of):
