@@ -26,7 +26,7 @@ def d09(s, d):
     return de.decoder("FAST-LOG-RAW", LETTERS, k=4)(logp(s, d))
 
 
-@query("d15_ngram_counts", """WITH c AS (SELECT text || chr(10) AS t FROM conversations), g AS (SELECT substr(t, i::BIGINT, 1) AS letter, CASE WHEN n > 0 THEN substr(t, (i - n)::BIGINT, n::BIGINT) ELSE '' END AS context FROM c, (SELECT unnest(range(1, 4000)) AS i), (VALUES (0), (1), (2)) v(n) WHERE i <= length(t) AND n < i)
+@query("d15_ngram_counts", """WITH c AS (SELECT text || chr(10) AS t FROM conversations), g AS (SELECT substr(t, i::BIGINT, 1) AS letter, CASE WHEN n > 0 THEN substr(t, (i - n)::BIGINT, n::BIGINT) ELSE '' END AS context FROM c, (SELECT unnest(range(1, (SELECT max(length(text)) + 2 FROM conversations))) AS i), (VALUES (0), (1), (2)) v(n) WHERE i <= length(t) AND n < i)
 SELECT context, letter, count(*) AS n FROM g GROUP BY context, letter""")
 def d15(s, d):
     return de.ngram_counts(table(s, d, "conversations").select("text"), 3)
@@ -88,12 +88,12 @@ def a27(s, d):
 
 
 def _arabic(s, d):
-    """Turns of talk whose words are written in Arabic letters where these have one."""
-    words = F.transform(F.split("text", " "), lambda w: F.when(F.length(w) % 2 == 0, F.translate(F.regexp_replace(w, "[^aeinorst]", ""), "aeinorst", "ابتثجحخد")).otherwise(w))
+    """Turns of talk with Arabic letters in place of eight others."""
+    words = F.transform(F.split("text", " "), lambda w: F.translate(w, "aeinorst", "ابتثجحخد"))
     return table(s, d, "conversations").select("conv_id", "turn", F.array_join(words, " ").alias("text"))
 
 
-@query("c15_arabic_lines", "SELECT conv_id, turn, len(list_filter(string_split(text, ' '), lambda w: length(w) % 2 = 0 AND regexp_replace(w, '[^aeinorst]', '', 'g') <> '')) > 0 AS arabic FROM conversations")
+@query("c15_arabic_lines", "SELECT conv_id, turn, len(list_filter(string_split(text, ' '), lambda w: regexp_full_match(w, '[aeinorst]+'))) > 0 AS arabic FROM conversations")
 def c15(s, d):
     return _arabic(s, d).select("conv_id", "turn", ar.is_arabic_line(F.col("text")).alias("arabic"))
 
@@ -108,7 +108,7 @@ def c17(s, d):
     return _arabic(s, d).select("conv_id", "turn", ar.shaped_udf()(F.col("text")).alias("text"))
 
 
-@query("c17_plain_letters", "SELECT conv_id, turn, array_to_string(list_transform(string_split(text, ' '), lambda w: CASE WHEN length(w) % 2 = 0 THEN translate(regexp_replace(w, '[^aeinorst]', '', 'g'), 'aeinorst', 'ابتثجحخد') ELSE w END), ' ') AS text FROM conversations")
+@query("c17_plain_letters", "SELECT conv_id, turn, translate(text, 'aeinorst', 'ابتثجحخد') AS text FROM conversations")
 def c17_plain(s, d):
     """Shaped and back again."""
     return _arabic(s, d).select("conv_id", "turn", ar.plain_letters(ar.shaped_udf()(F.col("text"))).alias("text"))

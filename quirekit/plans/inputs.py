@@ -19,17 +19,18 @@ NOISY = "replace(translate(text, 'eo', 'ca'), 'th', 't')"
 
 
 def references(spark: SparkSession, d: str) -> DataFrame:
-    """(file, line, text): the turns of conversations but for the system's."""
-    return table(spark, d, "conversations").where("role <> 'system'").select(F.col("conv_id").alias("file"), F.col("turn").alias("line"), "text")
+    """(file, line, text): all turns of conversations."""
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").cast("bigint").alias("line"), "text")
 
 
 def hypotheses(spark: SparkSession, d: str) -> DataFrame:
-    """(file, line, text): the turns of 60 characters or more, read poorly; so both sides have lines of their own."""
-    return table(spark, d, "conversations").where("length(text) >= 60").select(F.col("conv_id").alias("file"), F.col("turn").alias("line"), noisy().alias("text"))
+    """(file, line, text): all turns, read poorly; some under a line number that no reference has, so both sides have lines of their own."""
+    line = F.expr("cast(CASE WHEN (conv_id + turn) % 9 = 4 THEN turn + 1000000 ELSE turn END as bigint)")
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("file"), line.alias("line"), noisy().alias("text"))
 
 
-SIDES = f"""reference AS (SELECT conv_id AS file, turn AS line, text FROM conversations WHERE role <> 'system'),
-hypothesis AS (SELECT conv_id AS file, turn AS line, {NOISY} AS text FROM conversations WHERE length(text) >= 60)"""
+SIDES = f"""reference AS (SELECT conv_id AS file, turn::BIGINT AS line, text FROM conversations),
+hypothesis AS (SELECT conv_id AS file, (CASE WHEN (conv_id + turn) % 9 = 4 THEN turn + 1000000 ELSE turn END)::BIGINT AS line, {NOISY} AS text FROM conversations)"""
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:

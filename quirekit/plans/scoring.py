@@ -215,13 +215,13 @@ def o01_by_line(s, d):
     return hy.top_k(table(s, d, "events").select(F.col("user_id").alias("line"), F.col("event_id").alias("pos"), "value"), ["line"], "value", 3, True)
 
 
-_CN = CELLS + """, raw AS (SELECT line, (t // 2)::INT AS pos, CASE WHEN k = 7 THEN NULL ELSE chr(97 + k::INT) END AS symbol, sum(exp(v)) AS weight FROM cells WHERE t < 6 AND k >= 5 GROUP BY ALL),
+_CN = CELLS + """, raw AS (SELECT line, (t // 3)::INT AS pos, CASE WHEN k = 7 THEN NULL ELSE chr(97 + k::INT) END AS symbol, sum(exp(v)) AS weight FROM cells GROUP BY ALL),
 cn AS (SELECT line, pos, symbol, weight / sum(weight) OVER (PARTITION BY line, pos) AS weight FROM raw)"""
 
 
 def network(s, d):
-    rows = frames(s, d).select("line", F.posexplode("scores").alias("t", "f")).where("t < 6").select("line", "t", F.posexplode("f").alias("k", "v")).where("k >= 5")
-    named = rows.select("line", F.floor(F.col("t") / 2).cast("int").alias("pos"), F.when(F.col("k") < 7, F.chr(97 + F.col("k"))).alias("symbol"), F.exp("v").alias("w"))
+    rows = frames(s, d).select("line", F.posexplode("scores").alias("t", "f")).select("line", "t", F.posexplode("f").alias("k", "v"))
+    named = rows.select("line", F.floor(F.col("t") / 3).cast("int").alias("pos"), F.when(F.col("k") < 7, F.chr(97 + F.col("k"))).alias("symbol"), F.exp("v").alias("w"))
     return hy.normalised(named.groupBy("line", "pos", "symbol").agg(F.sum("w").alias("weight")), ["line"])
 
 
@@ -248,14 +248,14 @@ def o05(s, d):
 @query("a26_networks")
 def a26(s, d):
     """The networks of each user's bag; their folds are tested against the literal facts."""
-    b = hy.top_k(bags(s, d).withColumn("lm", F.col("lm") / 10).withColumn("pos", F.col("rank")), ["line"], "vis", 20, True)
+    b = bags(s, d).withColumn("lm", F.col("lm") / 10)
     return hy.networks(b.select("line", "rank", "transcript", "vis", "lm"), ["line"]).withColumn("weight", F.round("weight", 6))
 
 
 @query("a24_hypothesis_added")
 def a24(s, d):
     """The same without normalisation: the weights that hypotheses add."""
-    b = bags(s, d).withColumn("lm", F.lit(0.0)).where("vis > -0.5")
+    b = bags(s, d).withColumn("lm", F.lit(0.0))
     return hy.networks(b, ["line"], normalise=False).withColumn("weight", F.round("weight", 6))
 
 
@@ -289,8 +289,8 @@ def j06(s, d):
     return lines.join(frames(s, d).select("line", F.size("scores").alias("n_frames")), "line", "left")
 
 
-@query("j12_letter_index", "SELECT conv_id, turn, list_transform(list_filter(string_split(left(text, 40), ''), lambda c: c <> ''), lambda c: greatest(instr('abcdefghijklmnopqrstuvwxyz ', c) - 1, 0)::INT) AS ks FROM conversations")
+@query("j12_letter_index", "SELECT conv_id, turn, list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: greatest(instr('abcdefghijklmnopqrstuvwxyz ', c) - 1, 0)::INT) AS ks FROM conversations")
 def j12(s, d):
     letters = F.split(F.lit("abcdefghijklmnopqrstuvwxyz "), "")
-    ks = F.transform(F.filter(F.split(F.substring("text", 1, 40), ""), lambda c: c != ""), lambda c: F.greatest(F.array_position(letters, c) - 1, F.lit(0)).cast("int"))
+    ks = F.transform(F.filter(F.split(F.col("text"), ""), lambda c: c != ""), lambda c: F.greatest(F.array_position(letters, c) - 1, F.lit(0)).cast("int"))
     return table(s, d, "conversations").select("conv_id", "turn", ks.alias("ks"))
