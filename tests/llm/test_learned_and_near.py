@@ -1,6 +1,7 @@
 """The quality classifier by held-out accuracy, neighbours by recall, passages by planted ones and a brute-force search."""
 
 import random
+import time
 
 import numpy as np
 from quirekit.llm import neighbours as nb
@@ -175,17 +176,16 @@ def test_planted_passages(docs_of):
     assert all(r.n_words >= 50 and r.similarity >= 0.75 for r in rows)
 
 
-def test_passages_against_all_windows(docs_of):
-    """Every word of a document that lies in a run of 50 words which an earlier document also has must be in a passage, and clean documents have none."""
+def test_passages_against_all_windows(docs_of, monkeypatch):
+    """Every word of a document that lies in a run of 50 words which an earlier document also has must be in a passage, and clean documents have none; with heavy seeds and runs, too."""
     rng = random.Random(9)
-    pool = [prose(rng, 120, 50_000).split() for _ in range(4)]
+    pool = [prose(rng, 120, 50_000).split() for _ in range(6)]
     docs = []
-    for i in range(60):
-        ws = prose(rng, 60, 50_000).split()
-        if rng.random() < 0.5:
-            p = rng.choice(pool)
+    for i in range(90):
+        ws = prose(rng, 40, 50_000).split()
+        for p in rng.sample(pool, rng.randrange(5) if rng.random() < 0.6 else 0):
             a = rng.randrange(40)
-            ws[30:30] = p[a : a + rng.randrange(40, 80)]
+            ws += p[a : a + rng.randrange(40, 80)] + prose(rng, rng.choice([20, 60, 150, 300, 600]), 50_000).split()
         docs.append((i, " ".join(ws)))
     runs, shared = {}, {}
     for i, t in docs:
@@ -195,12 +195,68 @@ def test_passages_against_all_windows(docs_of):
             if key in runs:
                 shared.setdefault(i, set()).update(range(a, a + 50))
             runs.setdefault(key, i)
-    got = {}
-    for r in ps.repeated_passages(docs_of(docs)).collect():
-        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
-    assert shared and all(got.get(i, set()) >= s for i, s in shared.items())
     clean = [i for i, t in docs if not any(len(set(t.split()) & set(p)) > 20 for p in pool)]
-    assert clean and not set(clean) & set(got)
+    for sample, heavy in ((ps.SAMPLE, ps.HEAVY), (1, 5)):
+        monkeypatch.setattr(ps, "SAMPLE", sample)
+        monkeypatch.setattr(ps, "HEAVY", heavy)
+        got = {}
+        for r in ps.repeated_passages(docs_of(docs)).collect():
+            assert r.other < r.doc_id
+            got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+        assert len(shared) > 30 and all(got.get(i, set()) >= s for i, s in shared.items())
+        assert clean and not set(clean) & set(got)
+
+
+def edited(rng, ws, share, own):
+    out = list(ws)
+    for j in rng.sample(range(len(ws)), round(share * len(ws))):
+        out[j] = f"own{own}n{j}"
+    return out
+
+
+def test_recall_of_changed_passages(docs_of):
+    """Two documents that share a passage of which 10 to 22 % of the words are changed."""
+    rng = random.Random(20)
+    docs, n = [], 0
+    for share in (0.1, 0.14, 0.18, 0.22):
+        for _ in range(60):
+            ws = prose(rng, rng.choice([60, 80, 120]), 100_000).split()
+            for new in (ws, edited(rng, ws, share, n)):
+                docs.append((n, " ".join([*prose(rng, 40, 100_000).split(), *new, *prose(rng, 40, 100_000).split()])))
+                n += 1
+    got = {r.doc_id for r in ps.repeated_passages(docs_of(docs)).collect()}
+    assert all(i % 2 for i in got)
+    for k in range(4):
+        assert sum(i in got for i in range(120 * k + 1, 120 * k + 120, 2)) >= 0.9 * 60, k
+
+
+def test_passages_nearer_to_others_than_to_the_first(docs_of):
+    """Changed copies of a passage, each nearer to the original, which is in mid-order, than to one another."""
+    rng = random.Random(21)
+    base = prose(rng, 90, 100_000).split()
+    docs = []
+    for i in range(300):
+        new = base if i == 150 else edited(rng, base, 0.15, i)
+        docs.append((i, " ".join([*prose(rng, 30, 100_000).split(), *new, *prose(rng, 30, 100_000).split()])))
+    got = {r.doc_id for r in ps.repeated_passages(docs_of(docs)).collect()}
+    assert sum(i in got for i in range(151, 300)) >= 0.95 * 149
+
+
+def test_subsequences_against_the_table():
+    rng = random.Random(22)
+    for _ in range(200):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(40))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        assert ps.matches(a, b) == row[-1]
+    long = [[rng.randrange(5000) for _ in range(20_000)] for _ in range(2)]
+    began = time.process_time()
+    ps.matches(*long)
+    assert time.process_time() - began < 5
 
 
 def test_passages_of_odd_rows(odd, none):
