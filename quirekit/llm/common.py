@@ -43,13 +43,19 @@ def saved(df: DataFrame) -> DataFrame:
     finally:
         if small:
             spark.conf.set(_BATCH, str(rows))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._quirekit_path = path
+    return table
 
 
-def swept(df: DataFrame) -> None:
-    """Has the driver drop what it no longer refers to, and with that the shuffle files of the saved tables before this."""
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that saved() made and nothing reads any more, and has the driver drop what it no longer refers to: with that go the shuffle files of what has been saved since."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._quirekit_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def narrow_join(wide: DataFrame, narrow: DataFrame, on: str | list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:

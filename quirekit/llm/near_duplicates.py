@@ -53,11 +53,11 @@ def near_duplicates(docs: DataFrame, containment: float = 0.7, shingle: int = 3,
     same = table.where("doc_id <> first").select("doc_id", F.col("first").alias("duplicate_of"), F.lit(1.0).alias("containment"), "size", F.col("size").alias("other_size"))
     copies = saved(same.select("doc_id"))
     one = one_each(narrow_join(signs, copies, "doc_id", "left_anti"), twice, ["doc_id"])
-    found = saved(buckets(one, {gap: tuned(jaccard_at(containment, 2.0 ** (gap + 1)), n_hashes) for gap in range(GAPS + 1)}))
+    found = buckets(one, {gap: tuned(jaccard_at(containment, 2.0 ** (gap + 1)), n_hashes) for gap in range(GAPS + 1)})
     jac = f"({containment} * size / (other_size + size * (1 - {containment})))"
     floor = f"greatest(1, floor({n_hashes} * {jac} - 2.6 * sqrt({n_hashes} * {jac} * (1 - {jac}))))"
     likely = agreeing(linked(found, largest=True), one, floor, n_hashes)
-    good = saved(checked(rows, likely, twice, shingle, "both / size", containment, [F.desc(F.expr("agree * (size + other_size) / size")), F.asc("other")]))
+    good = checked(rows, likely, twice, shingle, "both / size", containment, [F.desc(F.expr("agree * (size + other_size) / size")), F.asc("other")])
     more = sought(narrow_join(rows, copies, "doc_id", "left_anti"), one, saved(good.select("doc_id")), twice, shingle, containment, "(other_size > size or other_size = size and other < doc_id)")
     good = good.union(checked(rows, more, twice, shingle, "both / size", containment, [F.desc("agree"), F.asc("other_size"), F.asc("other")]).select(good.columns))
     return same.union(good.select("doc_id", F.col("other").alias("duplicate_of"), F.col("score").alias("containment"), "size", "other_size"))

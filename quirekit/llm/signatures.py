@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quirekit.llm.common import column, id_type, narrow_join, rebatched, saved
+from quirekit.llm.common import column, dropped, id_type, narrow_join, rebatched, saved
 from quirekit.llm.words import U64, batches, mix, shingles, words
 
 #: The second look takes about so many shingles of a document, twice as many at most, first to see whether others have enough of them, and then to find which; in each round it misses
@@ -207,6 +207,7 @@ def sought(docs: DataFrame, signs: DataFrame, matched: DataFrame, twice: DataFra
         enough = some.groupBy("doc_id").agg(F.count("*").alias("n_held"), F.first("n").alias("n"), F.first("enough").alias("enough")).where("n_held > n - enough").select("doc_id")
         if samples != SAMPLES[-1]:
             left = saved(left.join(enough, "doc_id", "left_semi"))
+            dropped(asks)
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy("n_holders", "key"))
     few = some.withColumn("place", rank + F.col("n") - F.count("*").over(W.partitionBy("doc_id"))).where("place <= enough").select("key", "doc_id", "size")
     holds = held.select("key", F.col("doc_id").alias("other"), F.col("size").alias("other_size"))
@@ -294,7 +295,7 @@ def known(signs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def checked(docs: DataFrame, links: DataFrame, twice: DataFrame, k: int, score: str, least: float, rank: list) -> DataFrame:
-    """Of each doc_id's links, the best that passes the exact check, as (doc_id, other, size, other_size, both, score).
+    """Of each doc_id's links, the best that passes the exact check, as (doc_id, other, size, other_size, both, score), saved.
 
     First only each document's most promising link is checked; all other links of the documents that failed follow."""
     links = saved(links.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy(*rank))))
@@ -305,4 +306,6 @@ def checked(docs: DataFrame, links: DataFrame, twice: DataFrame, k: int, score:
     asked = saved(rest.select("doc_id").union(rest.select("other")).distinct())
     second = shared(rest, narrow_join(sets, asked, "doc_id", "left_semi")).withColumn("score", F.expr(score)).where(F.col("score") >= least)
     second = second.withColumn("at", F.row_number().over(W.partitionBy("doc_id").orderBy("place"))).where("at = 1").drop("at")
-    return first.union(second.select(first.columns)).drop("place", "agree")
+    good = saved(first.union(second.select(first.columns)).drop("place", "agree"))
+    dropped(links, ids, sets, first, rest, asked)
+    return good
