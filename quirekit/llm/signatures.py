@@ -195,23 +195,22 @@ def sought(docs: DataFrame, signs: DataFrame, matched: DataFrame, twice: DataFra
     Each takes its shingles whose hash is under a rate that depends on its size. A set of which another holds `share` has few samples that no other set
     holds (see least_shared), and most documents drop out by that. The rest take more samples. If another set holds `share` of them, it
     holds one of the rarest few at least, so they ask with those, and with shingles that are common to many texts only if they have little else. All
-    documents hold all their shingles; a Bloom filter of the asked ones is sent to the scan, so only those are moved. `before` says
+    documents hold all their shingles; a Bloom filter of the asked ones is sent to the scan, so only those are moved, and of all but the last as counts. `before` says
     which others count, by (doc_id, size, other, other_size); agree is the number of asked shingles that other holds."""
     left = saved(narrow_join(signs.select("doc_id", "size", "print"), matched, "doc_id", "left_anti"))
     for samples in SAMPLES:
         asks = _asked(docs, left, twice, k, share, samples)
-        held = _held(docs, asks, twice, k)
-        held = held if samples != SAMPLES[-1] else saved(held)
-        counts = held.groupBy("key").agg(F.count("*").alias("n_holders")).where("n_holders > 1")
-        some = asks.join(counts, "key")
-        enough = some.groupBy("doc_id").agg(F.count("*").alias("n_held"), F.first("n").alias("n"), F.first("enough").alias("enough")).where("n_held > n - enough").select("doc_id")
+        counts = _held(docs, asks, twice, k).groupBy("key").agg(F.count("*").alias("n_holders")).where("n_holders > 1")
+        some = asks.join(counts, "key").withColumn("n_held", F.count("*").over(W.partitionBy("doc_id"))).where("n_held > n - enough")
         if samples != SAMPLES[-1]:
-            left = saved(left.join(enough, "doc_id", "left_semi"))
-            dropped(asks)
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy("n_holders", "key"))
-    few = some.withColumn("place", rank + F.col("n") - F.count("*").over(W.partitionBy("doc_id"))).where("place <= enough").select("key", "doc_id", "size")
-    holds = held.select("key", F.col("doc_id").alias("other"), F.col("size").alias("other_size"))
-    pairs = few.join(holds, "key").where(f"doc_id <> other and {before}")
+            fewer = saved(left.join(some.select("doc_id").distinct(), "doc_id", "left_semi"))
+            dropped(left, asks)
+            left = fewer
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("n_holders", "key")) + F.col("n") - F.col("n_held")
+    few = saved(some.withColumn("place", place).where("place <= enough").select("key", "doc_id", "size"))
+    dropped(left, asks)
+    held = _held(docs, few, twice, k)
+    pairs = few.join(held.select("key", F.col("doc_id").alias("other"), F.col("size").alias("other_size")), "key").where(f"doc_id <> other and {before}")
     return pairs.groupBy("doc_id", "other", "size", "other_size").agg(F.count("*").cast("int").alias("agree"))
 
 
