@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirekit.llm.common import column, rebatched
+from quirekit.llm.common import column, id_type, rebatched
 from quirekit.llm.license_templates import TEMPLATES
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -202,18 +202,18 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFr
     With templates of one's own, all texts are scanned; otherwise those that hold a word which every template needs.
     """
     chosen = tuple((TEMPLATES if templates is None else templates).items())
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = docs.select(F.col("doc_id").cast(id_type(docs)).alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     if templates is None:
         rows = rows.where(F.col("text").rlike("(?i)" + "|".join(HINTS)))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(it, 1024):
             found = [(i, *m) for i, t in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist()) for m in scan(t, chosen)]
-            types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+            types = (column(batch, "doc_id").type, pa.string(), pa.int32(), pa.int32(), pa.int32())
             cols = zip(*found) if found else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "license", "start", "end", "n_words"])
 
-    return rows.mapInArrow(run, "doc_id bigint, license string, start int, end int, n_words int")
+    return rows.mapInArrow(run, f"doc_id {id_type(docs)}, license string, start int, end int, n_words int")
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

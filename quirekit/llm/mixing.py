@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirekit.llm.common import BROADCAST_ROWS, narrow_join, saved
+from quirekit.llm.common import BROADCAST_ROWS, fresh, id_type, narrow_join, saved
 
 DIMS = ("source", "lang", "topic")
 #: A marginal's targets: shares by category, or the power of the observed shares that they follow (0: all equal, 1: as observed).
@@ -25,7 +25,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, source, lang, topic, tokens) of each row: tokens are runs of non-blank characters; null categories and topics of null texts are ''."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.col("doc_id").cast(id_type(docs)).alias("doc_id"),
         *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")),
         topic_of(text).alias("topic"),
         F.when(text == "", 0).otherwise(F.regexp_count(text, F.lit(r"\S+"))).cast("bigint").alias("tokens"),
@@ -124,15 +124,39 @@ def mixed(docs: DataFrame, targets: dict | None = None, keep: float = 0.6, seed:
 
 
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
-    """The rows of docs that mixed() samples, by (doc_id, source, lang); a document without tokens goes."""
-    spark_cols = docs.columns
+    """The rows of docs that mixed() samples, by (doc_id, source, lang, topic); a document without tokens goes.
+
+    Rows with a null doc_id or category and repeated rows are treated as mixed() says. Other columns stay as they are, whatever their names. An empty table gives an empty one."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    weighed = saved(mixed(docs, **params).select(*DIMS, "probability").distinct())
-    keyed = docs.withColumns({f"_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "lang")} | {"_topic": topic_of(text)})
-    fitted = weighed.select(*(F.col(c).alias(f"_{c}") for c in DIMS), F.col("probability").alias("_probability"))
-    both = narrow_join(keyed, saved(fitted), [f"_{c}" for c in DIMS], "inner", BROADCAST_ROWS // 4)
-    return both.where(uniform(params.get("seed", 17)) < F.col("_probability")).select(spark_cols)
+    names = {c: fresh(docs, f"{c}_of_cell") for c in DIMS} | {"probability": fresh(docs, "probability_of_cell")}
+    weighed = saved(mixed(docs, **params).select(*DIMS, "probability").distinct().select(*(F.col(c).alias(n) for c, n in names.items())))
+    keyed = docs.withColumns({names[c]: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "lang")} | {names["topic"]: topic_of(text)})
+    both = narrow_join(keyed, weighed, [names[c] for c in DIMS], "inner", BROADCAST_ROWS // 4)
+    return both.where(uniform(params.get("seed", 17)) < F.col(names["probability"])).select(docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
+
+
+_GOAL = "SELECT {0}, pow(o, {1}) / sum(pow(o, {1})) OVER () AS g{0} FROM (SELECT {0}, sum(mass) / any_value(total) AS o FROM cells, total GROUP BY {0}) WHERE o > 0"
+#: op8_mixing in SQL: 200 rounds of raking, and the scale of the probabilities.
+ORACLE_SQL = rf"""WITH RECURSIVE m AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+ CASE WHEN contains(t, 'icense') OR contains(t, 'opyright') OR contains(t, 'rights reserved') THEN 'legal' WHEN contains(t, '://') OR contains(t, ' = "') OR contains(t, '@') THEN 'technical' WHEN contains(t, ' | ') THEN 'tabular' ELSE 'prose' END AS topic,
+ len(regexp_extract_all(t, '[^ 	
+]+'))::BIGINT AS tokens FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
+cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS mass FROM m GROUP BY source, lang, topic), total AS (SELECT sum(mass) AS total FROM cells),
+gs AS ({_GOAL.format("source", 0.5)}), gt AS ({_GOAL.format("topic", 0.7)}),
+ol AS (SELECT lang, sum(mass) / any_value(total) AS o, max(CASE lang WHEN 'en' THEN 0.5 WHEN 'fr' THEN 0.2 WHEN 'de' THEN 0.15 WHEN 'es' THEN 0.15 END)::DOUBLE AS listed FROM cells, total GROUP BY lang HAVING sum(mass) > 0),
+gl AS (SELECT lang, CASE WHEN listed IS NULL THEN o ELSE listed / sum(listed) OVER () * (1 - coalesce(sum(o) FILTER (WHERE listed IS NULL) OVER (), 0)) END AS glang FROM ol),
+fit AS (SELECT 0 AS n, source, lang, topic, mass / total AS f FROM cells, total WHERE mass > 0
+ UNION ALL SELECT n + 1, source, lang, topic, f2 * gtopic / sum(f2) OVER (PARTITION BY topic) FROM (
+  SELECT n, source, lang, topic, gtopic, f1 * glang / sum(f1) OVER (PARTITION BY lang) AS f2 FROM (
+   SELECT n, source, lang, topic, glang, gtopic, f * gsource / sum(f) OVER (PARTITION BY source) AS f1 FROM fit JOIN gs USING (source) JOIN gl USING (lang) JOIN gt USING (topic) WHERE n < 200))),
+w AS (SELECT source, lang, topic, mass, coalesce(f * total / mass, 0) AS weight FROM cells CROSS JOIN total LEFT JOIN (SELECT source, lang, topic, f FROM fit WHERE n = 200) USING (source, lang, topic)),
+s AS (SELECT weight, (0.6 * (SELECT total FROM total) - coalesce(sum(mass) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / nullif(sum(weight * mass) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS scale, row_number() OVER o AS pos FROM w WINDOW o AS (ORDER BY weight DESC, source, lang, topic)),
+c AS (SELECT arg_min(scale, pos) FILTER (WHERE scale * weight <= 1 + 1e-12 AND scale >= 0) AS scale FROM s),
+p AS (SELECT source, lang, topic, weight, CASE WHEN weight <= 0 THEN 0 WHEN scale IS NULL THEN 1 ELSE least(1, scale * weight) END::DOUBLE AS probability FROM w, c)
+SELECT doc_id, source, lang, topic, tokens, round(weight, 6) AS weight, round(probability, 6) AS probability,
+ ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / (1::BIGINT << 52)::DOUBLE < probability AS sampled FROM m JOIN p USING (source, lang, topic)"""

@@ -297,4 +297,10 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = EVERY, shard_rows: int
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumn("distance", F.round("distance", 6))
+
+
+#: The exact neighbours, which the graphs find all of at the size of the correctness check; recall at larger sizes is tested.
+ORACLE_SQL = """WITH d AS (SELECT q.vec_id, v.vec_id AS neighbour, sqrt(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2)))) AS distance
+ FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
+SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour)::INT AS rank, neighbour, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) <= 10"""

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirekit.llm.common import saved
+from quirekit.llm.common import id_type, saved
 
 TIERS = (512, 2048, 8192, 32768)
 #: A step group holds windows of one tier with so many positions.
@@ -24,7 +24,7 @@ def pieces(docs: DataFrame, tiers: tuple[int, ...] = TIERS) -> DataFrame:
     top = max(tiers)
     text = F.col("text").cast("string")
     n = F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), n.alias("n")).where("n > 0")
+    rows = docs.select(F.col("doc_id").cast(id_type(docs)).alias("doc_id"), n.alias("n")).where("n > 0")
     return rows.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / top).cast("int"))).alias("piece")).select(
         "doc_id", "piece", (F.col("piece") * top).alias("start"), F.least(F.lit(top), F.col("n") - F.col("piece") * top).cast("int").alias("tokens")
     )
@@ -108,7 +108,7 @@ def packed_shard(lengths: np.ndarray, tiers: tuple[int, ...], step_tokens: int)
     return out | {"home": np.array(tiers)[home] if n else np.zeros(0, np.int64), "fills": fills}
 
 
-_SCHEMA = "doc_id bigint, piece int, start int, tokens int, home int, tier int, shard int, window bigint, offset int, step_group bigint, fills_gap boolean"
+_SCHEMA = "piece int, start int, tokens int, home int, tier int, shard int, window bigint, offset int, step_group bigint, fills_gap boolean"
 
 
 def packed(docs: DataFrame, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, shard_pieces: int = SHARD_PIECES) -> DataFrame:
@@ -133,7 +133,7 @@ def packed(docs: DataFrame, tiers: tuple[int, ...] = TIERS, step_tokens: int = S
         )
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(pack, _SCHEMA)
+    return dealt.groupBy("shard").applyInPandas(pack, f"doc_id {id_type(rows)}, {_SCHEMA}")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

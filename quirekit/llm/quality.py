@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirekit.llm.common import column, narrow_join, rebatched, saved
+from quirekit.llm.common import column, id_type, narrow_join, rebatched, saved
 from quirekit.llm.words import U64, batches, mix, words
 
 FEATURES = ("upper", "digits", "exclaims", "symbols", "bars", "stops", "lines", "non_ascii", "word_length", "length_spread", "log_words", "again", "distinct", "longest")
@@ -67,8 +67,8 @@ def featured(docs: DataFrame) -> DataFrame:
             rows = [None if np.isnan(r[0]) else r for r in x]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id bigint, x array<double>")
+    rows = docs.select(F.col("doc_id").cast(id_type(docs)).alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    return rows.mapInArrow(run, f"doc_id {id_type(docs)}, x array<double>")
 
 
 def fit(good: np.ndarray, bad: np.ndarray, seed: int = 3, ridge: float = 1e-3, steps: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +108,7 @@ def scored(docs: DataFrame, labels: DataFrame, quantile: float = 0.004, train_ro
     doc_id are scored each and stand together: the lowest score counts, and one row comes out.
     """
     x = saved(featured(docs))
-    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
+    known = labels.select(F.col("doc_id").cast(id_type(docs)).alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rated = saved(x.where("x is not null").join(known, "doc_id"))
     share = min(1.0, 1.1 * train_rows / max(1, rated.count()))  # a cut by the hash first, so that no task sends more than its share
@@ -133,9 +133,10 @@ def scored(docs: DataFrame, labels: DataFrame, quantile: float = 0.004, train_ro
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """docs without those that scored() rejects; rows without a doc_id stay."""
+    """docs without those that scored() rejects; rows without a doc_id stay, and of several rows of one doc_id all stay or none. Other columns may have any names. An empty table gives an empty one."""
     gone = saved(scored(docs, labels, **params).where("not keep").select("doc_id"))
-    return narrow_join(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), gone, "doc_id", "left_anti").select(docs.columns)
+    kept = narrow_join(docs.withColumn("doc_id", F.col("doc_id").cast(id_type(docs))), gone, "doc_id", "left_anti")
+    return kept.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)).select(docs.columns)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirekit.llm.common import column, rebatched
+from quirekit.llm.common import column, id_type, rebatched
 
 #: How telling a component of a name is.
 SENSITIVE = {
@@ -338,8 +338,8 @@ def secrets(docs: DataFrame, least: float = 0.68) -> DataFrame:
             cols = zip(*rows) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "name", "start", "end", "length", "masked", "score"])
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    rows = docs.select(F.col("doc_id").cast(id_type(docs)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kind = id_type(docs)
     return rows.where(F.col("text").rlike(_HINT)).mapInArrow(run, f"doc_id {kind}, name string, start int, end int, length bigint, masked string, score double")
 
 
