@@ -39,7 +39,10 @@ def s02(s, d):
     return back.withColumns({c: ge.printed_points(F.col(c)) for c in ("baseline", "polygon")})
 
 
-@query("k01_page_xml")
+@query("k01_page_xml", f"""WITH {_DOC}, x AS (SELECT page_id, region_id, line_pos, concat('<TextLine id="', line_id, '" index="', line_pos, '" custom="heights_v2:[', printf('%.1f', ascender), ',', printf('%.1f', descender), ']"><Coords points="', polygon, '"/><Baseline points="', baseline, '"/>',
+ CASE WHEN transcription IS NOT NULL THEN concat('<TextEquiv conf="', printf('%.3f', confidence::DOUBLE), '"><Unicode>', replace(replace(replace(replace(transcription, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '</Unicode></TextEquiv>') ELSE '' END, '</TextLine>') AS x FROM docs),
+r AS (SELECT page_id, region_id, concat('<TextRegion id="', region_id, '">', string_agg(x, '' ORDER BY line_pos), '</TextRegion>') AS x FROM x GROUP BY page_id, region_id)
+SELECT page_id, concat('<PcGts xmlns="http://schema.primaresearch.org/PAGE/gts/pagecontent/2019-07-15"><Page imageFilename="', page_id, '.jpg" imageWidth="1200" imageHeight="1600">', string_agg(x, '' ORDER BY region_id), '</Page></PcGts>') AS xml FROM r GROUP BY page_id""")
 def k01(s, d):
     return page_xml(s, d)
 
