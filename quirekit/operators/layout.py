@@ -6,13 +6,19 @@ A page is the unit of work: joins are on the page and then on boxes, and what ne
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quirekit.functions.geometry import components, convex_hull, resample
+from quirekit.functions.geometry import convex_hull, resample
+
+#: Rows of pages that a task labels at once, at least where there are so many.
+PAGE_ROWS = 20_000
 
 
 def flattened(pages: DataFrame) -> DataFrame:
@@ -101,18 +107,59 @@ def near_pairs(lines: DataFrame, by: float) -> DataFrame:
     return grid_overlaps(grown, grown, 256.0, ["page"]).where("id < other").withColumnRenamed("id", "line")
 
 
-def clusters(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(page, line, cluster): connected components of the pairs on each page, named by their least line."""
+def least_members(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of each of n nodes' connected component, of edges between a and b: labels fall along edges and are followed to their ends, until none changes."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        new = new[label]
+        if (new == label).all():
+            break
+        label = new
+    return label
 
-    def run(key, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(nodes.line)
-        at = {v: i for i, v in enumerate(ids)}
-        roots = components(len(ids), [(at[a], at[b]) for a, b in zip(edges.line, edges.other)])
-        return pd.DataFrame({"page": key[0], "line": ids, "cluster": [ids[r] for r in roots]})
 
-    kind = lines.schema["page"].dataType.simpleString()
-    line = lines.schema["line"].dataType.simpleString()
-    return lines.select("page", "line").groupBy("page").cogroup(pairs.groupBy("page")).applyInPandas(run, f"page {kind}, line {line}, cluster {line}")
+def clusters(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(page, line, cluster): connected components of the pairs on each page, named by their least line.
+
+    Lines and pairs are dealt by page and sorted; a task labels all pages of a batch at once."""
+
+    def labelled(page: pa.Array, line: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+        code = page.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        node = line == other
+        order = np.lexsort((line[node], code[node]))
+        pages, ids = code[node][order], line[node][order]
+        # nodes are in the order of (page, line): places of edges' ends are looked up by page and rank of the line
+        names, rank = np.unique(np.concatenate([line, other]), return_inverse=True)
+        rank = rank.ravel()
+        key = pages.astype(np.int64) * len(names) + np.searchsorted(names, ids)
+        ends = [np.searchsorted(key, code[~node].astype(np.int64) * len(names) + r[~node]) for r in (rank[: len(line)], rank[len(line) :])]
+        label = least_members(len(ids), *ends)
+        return pa.RecordBatch.from_arrays([page.take(pa.array(np.flatnonzero(node)[order])), pa.array(ids), pa.array(ids[label])], ["page", "line", "cluster"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in it:
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            if not table.num_rows:
+                continue
+            held = table.to_batches()[0]
+            code = held.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            cut = int(np.flatnonzero(code != code[-1])[-1]) + 1 if (code != code[-1]).any() else 0
+            if cut >= PAGE_ROWS:
+                yield labelled(held.column(0).slice(0, cut), *(held.column(i).slice(0, cut).to_numpy(zero_copy_only=False) for i in (1, 2)))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield labelled(held.column(0), *(held.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)))
+
+    kind, line = (lines.schema[c].dataType.simpleString() for c in ("page", "line"))
+    both = lines.select("page", "line", F.col("line").alias("other")).distinct().union(pairs.select("page", "line", "other").where("line <> other"))
+    return both.repartition("page").sortWithinPartitions("page").mapInArrow(run, f"page {kind}, line {line}, cluster {line}")
 
 
 def cluster_boxes(lines: DataFrame, of: DataFrame) -> DataFrame:
