@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to so many rows of a few numbers each; beyond it, both sides are shuffled.
@@ -85,6 +85,11 @@ def prepared(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast(id_type(docs)).alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
 
 
+def n_tokens(text: Column) -> Column:
+    """The tokens of a text: words and single signs."""
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have: `name`, with underscores before it as needed."""
     have = {c.lower() for c in df.columns}

@@ -18,7 +18,8 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?
 _CLASS = re.compile(r"(?:^|\s)class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _DIGITS, _BLANK = re.compile(r"\d+"), re.compile(r"[ \t\r\f\v\xa0]*\n\s*|[ \t\r\f\v\xa0]+")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe"}
+#: Elements whose content is no markup, and goes on to the page's end where they aren't closed, as in browsers; elements whose subtree is hidden.
+_RAW, _HIDDEN = {"script", "style", "textarea", "iframe"}, {"noscript", "template", "svg"}
 #: Elements that can hold the main text, and those that never do.
 CONTAINERS = {"body", "main", "article", "section", "div", "td", "blockquote", "center", "form", "dd"}
 BOILERPLATE = {"nav", "footer", "aside", "header", "menu", "button", "select", "head"}
@@ -63,7 +64,7 @@ def parsed(source: str) -> Page:
     def text(a: int, b: int) -> None:
         if a < b and not source[a:b].isspace():
             t = entities.unescape(source[a:b])
-            if stack and stack[-1][0] == "title":
+            if stack and stack[-1][0] == "title" and not any(e[0] in _HIDDEN for e in stack):
                 title.append(t)
             else:
                 top = stack[-1] if stack else ("", "", 0, False, False)
@@ -95,6 +96,11 @@ def parsed(source: str) -> Page:
             end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
             at = end.end() if end else n
             continue
+        if name in _BLOCKS:  # no block is part of a drawing: an unclosed one ends
+            for i, e in enumerate(stack):
+                if e[0] == "svg":
+                    del stack[i:]
+                    break
         closes, until = _ENDS.get(name, ((), ()))
         for i in range(len(stack) - 1, -1, -1) if closes else ():
             if stack[i][0] in closes:
@@ -104,7 +110,7 @@ def parsed(source: str) -> Page:
                 break
         top = stack[-1] if stack else ("", "", 0, False, False)
         step, holder = step_of(name, m.group("attrs")), top[2]
-        plate = top[4] or name in BOILERPLATE
+        plate = top[4] or name in BOILERPLATE or name in _HIDDEN
         if name in CONTAINERS and not plate:
             above = paths[top[2]]
             paths.append((above if len(above) < 1000 else "~" + hashlib.md5(above.encode()).hexdigest()) + ">" + step)

@@ -28,7 +28,10 @@ ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CO
     "BSD-3-Clause": _BSD_HEAD + """<<var 1>> Neither the name of <<var 12>> nor the names of its contributors may be used to endorse or promote products derived from this software without
 specific prior written permission. """ + _BSD_TAIL,
     "Zlib": """This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is
-granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:""",
+        granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+        <<var 1>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+        <<var 1>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+        <<var 1>> This notice may not be removed or altered from any source distribution.""",
     "Apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the License); you may not use <<var 4>> except in compliance with the License. You may obtain a copy of the License at
 <<var 10>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or
 implied. See the License for the specific language governing permissions and limitations under the License.""",
@@ -36,7 +39,10 @@ implied. See the License for the specific language governing permissions and lim
     "GPL-3.0-notice": _GNU.format("General Public License", "<<opt>>, either<</opt>> version 3 of the License<<opt>>, or (at your option) any later version<</opt>>"),
     "LGPL-notice": _GNU.format("<<opt>>Lesser<</opt>> <<opt>>Library<</opt>> General Public License", "; either version <<var 2>> of the License<<opt>>, or (at your option) any later version<</opt>>"),
     "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at <<var 8>>",
-    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
+        for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain.
+        We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+        """ + _WARRANTY.replace("SHALL <<var 12>> BE", "SHALL THE AUTHORS BE") + """ <<opt>>For more information, please refer to <<var 8>><</opt>>""",
     "Apache-2.0-grant": "licensed under <<opt>>the<</opt>> Apache <<opt>>Software<</opt>> License <<opt>>Version<</opt>> <<opt>>v<</opt>> 2<<opt>>.0<</opt>>",
     "MIT-grant": "<<opt>>released<</opt>> <<opt>>licensed<</opt>> <<opt>>distributed<</opt>> under <<opt>>the terms of<</opt>> the MIT License",
     "BSD-grant": "<<opt>>released<</opt>> <<opt>>licensed<</opt>> <<opt>>distributed<</opt>> under <<opt>>the terms of<</opt>> <<opt>>the<</opt>> <<opt>>a<</opt>> BSD <<opt>>2 Clause<</opt>> <<opt>>3 Clause<</opt>> <<opt>>style<</opt>> License",

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirekit.llm.common import BROADCAST_ROWS, fresh, id_type, narrow_join, saved
+from quirekit.llm.common import BROADCAST_ROWS, fresh, id_type, n_tokens, narrow_join, saved
 
 DIMS = ("source", "lang", "topic")
 #: A marginal's targets: shares by category, or the power of the observed shares that they follow (0: all equal, 1: as observed).
@@ -22,13 +22,13 @@ def topic_of(text: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, lang, topic, tokens) of each row: tokens are runs of non-blank characters; null categories and topics of null texts are ''."""
+    """(doc_id, source, lang, topic, tokens) of each row: tokens are those that packing counts; null categories and topics of null texts are ''."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast(id_type(docs)).alias("doc_id"),
         *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")),
         topic_of(text).alias("topic"),
-        F.when(text == "", 0).otherwise(F.regexp_count(text, F.lit(r"\S+"))).cast("bigint").alias("tokens"),
+        n_tokens(text).cast("bigint").alias("tokens"),
     )
 
 
@@ -145,7 +145,8 @@ _GOAL = "SELECT {0}, pow(o, {1}) / sum(pow(o, {1})) OVER () AS g{0} FROM (SELECT
 ORACLE_SQL = rf"""WITH RECURSIVE m AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
  CASE WHEN contains(t, 'icense') OR contains(t, 'opyright') OR contains(t, 'rights reserved') THEN 'legal' WHEN contains(t, '://') OR contains(t, ' = "') OR contains(t, '@') THEN 'technical' WHEN contains(t, ' | ') THEN 'tabular' ELSE 'prose' END AS topic,
  len(regexp_extract_all(t, '[^ 	
-]+'))::BIGINT AS tokens FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
+
+]+'))::BIGINT AS tokens FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
 cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS mass FROM m GROUP BY source, lang, topic), total AS (SELECT sum(mass) AS total FROM cells),
 gs AS ({_GOAL.format("source", 0.5)}), gt AS ({_GOAL.format("topic", 0.7)}),
 ol AS (SELECT lang, sum(mass) / any_value(total) AS o, max(CASE lang WHEN 'en' THEN 0.5 WHEN 'fr' THEN 0.2 WHEN 'de' THEN 0.15 WHEN 'es' THEN 0.15 END)::DOUBLE AS listed FROM cells, total GROUP BY lang HAVING sum(mass) > 0),

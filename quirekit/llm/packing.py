@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirekit.llm.common import id_type, saved
+from quirekit.llm.common import id_type, n_tokens, saved
 
 TIERS = (512, 2048, 8192, 32768)
 #: A step group holds windows of one tier with so many positions.
@@ -22,8 +22,7 @@ SHARD_PIECES = 50_000
 def pieces(docs: DataFrame, tiers: tuple[int, ...] = TIERS) -> DataFrame:
     """(doc_id, piece, start, tokens) of each text with tokens: cut where it is longer than the largest window. Tokens are words and single signs."""
     top = max(tiers)
-    text = F.col("text").cast("string")
-    n = F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"))
+    n = n_tokens(F.col("text").cast("string"))
     rows = docs.select(F.col("doc_id").cast(id_type(docs)).alias("doc_id"), n.alias("n")).where("n > 0")
     return rows.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / top).cast("int"))).alias("piece")).select(
         "doc_id", "piece", (F.col("piece") * top).alias("start"), F.least(F.lit(top), F.col("n") - F.col("piece") * top).cast("int").alias("tokens")
