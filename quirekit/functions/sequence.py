@@ -9,6 +9,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 #: How a step of an alignment uses its two sides.
@@ -102,30 +104,135 @@ def substring_alignment(src: Sequence, tgt: Sequence, sub: float = 1, ins: float
     return [(b, a) for a, b in out] if swap else out
 
 
-def _pandas(f, returns: str):
-    """A pandas UDF of two array columns; NULL where either is."""
+#: Cells of the tables of pairs that are filled together.
+CELLS = 1 << 23
+
+
+def many(src: list[np.ndarray], tgt: list[np.ndarray], sub: float = 1, ins: float = 1, dele: float = 1, trace: bool = True) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(distances, paths) of many pairs of coded sequences, as by distance() and path(): pairs of like length are filled together, a row of all their tables at a time, and traced together. Without trace there are no paths."""
+    n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (src, tgt))
+    cost, paths = np.zeros(len(src)), [np.zeros(0, np.int8)] * len(src)
+    order = np.lexsort((n_b, n_a))
+    at = 0
+    while at < len(order):
+        n = m = 0
+        end = at
+        while end < len(order):
+            n1, m1 = max(n, int(n_a[order[end]])), max(m, int(n_b[order[end]]))
+            if end > at and (end - at + 1) * (n1 + 1) * (m1 + 1) > CELLS:
+                break
+            n, m, end = n1, m1, end + 1
+        own = order[at:end]
+        at = end
+        k = len(own)
+        a, b = np.full((k, n), -1, np.int64), np.full((k, m), -2, np.int64)
+        for r, i in enumerate(own):
+            a[r, : n_a[i]], b[r, : n_b[i]] = src[i], tgt[i]
+        steps = np.arange(m + 1) * float(ins)
+        row = np.broadcast_to(steps, (k, m + 1)).copy()
+        moves = np.full((n + 1, k, m + 1), TARGET, np.int8) if trace else None
+        last = np.empty((n + 1, k))
+        mine, to = np.arange(k), n_b[own]
+        last[0] = row[mine, to]
+        for i in range(1, n + 1):
+            gone = row + dele
+            both = np.full((k, m + 1), np.inf)
+            both[:, 1:] = row[:, :-1] + sub * (b != a[:, i - 1 : i])
+            least = np.minimum(gone, both)
+            best = np.minimum.accumulate(least - steps, axis=1) + steps
+            came = np.full((k, m + 1), np.inf)
+            came[:, 1:] = best[:, :-1] + ins
+            if trace:
+                moves[i] = np.where(came < least - 1e-9, TARGET, np.where(both < gone - 1e-9, BOTH, SOURCE))
+                moves[i, :, 0] = SOURCE
+            row = np.minimum(least, came)
+            last[i] = row[mine, to]
+        cost[own] = last[n_a[own], mine]
+        if not trace:
+            continue
+        i, j = n_a[own].copy(), n_b[own].copy()
+        out = np.zeros((k, n + m), np.int8)
+        length = np.zeros(k, np.int64)
+        live = np.flatnonzero(i + j)
+        while len(live):
+            x, y = i[live], j[live]
+            step = np.where(x == 0, TARGET, np.where(y == 0, SOURCE, moves[x, live, y]))
+            out[live, length[live]] = step
+            length[live] += 1
+            i[live] -= step != TARGET
+            j[live] -= step != SOURCE
+            live = live[(i[live] + j[live]) > 0]
+        for r, p in enumerate(own):
+            paths[p] = out[r, : length[r]][::-1]
+    return cost, paths
+
+
+def _coded(a: pa.Array, b: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Two arrays of lists as lists of codes, equal for equal elements; a null list is an empty one."""
+    both = pa.concat_arrays([a.flatten(), b.flatten()])
+    codes = pc.dictionary_encode(both, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    size = [np.where(x.is_null().to_numpy(zero_copy_only=False), 0, np.nan_to_num(pc.list_value_length(x).to_numpy(zero_copy_only=False))).astype(np.int64) for x in (a, b)]
+    edge = np.concatenate([[0], np.cumsum(np.concatenate(size))])
+    parts = [codes[p:q] for p, q in zip(edge[:-1], edge[1:])]
+    return parts[: len(a)], parts[len(a) :]
+
+
+def _missing(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pc.or_(a.is_null(), b.is_null())
 
-    @F.pandas_udf(returns)
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else f(list(x), list(y)) for x, y in zip(a, b)], dtype=object if "array" in returns else None)
 
-    return run
+def distance_udf(sub: float = 1, ins: float = 1, dele: float = 1):
+    """distance() of two array columns, NULL where either is."""
 
+    @F.arrow_udf("double")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pc.if_else(_missing(a, b), pa.scalar(None, pa.float64()), pa.array(many(*_coded(a, b), sub, ins, dele, trace=False)[0]))
 
-def distance_udf(sub: float = 1, ins: float = 1, dele: float = 1):
-    return _pandas(lambda x, y: distance(x, y, sub, ins, dele), "double")
+    return run
 
 
-def substring_distance_udf(sub: float = 1, ins: float = 1, dele: float = 1):
-    return _pandas(lambda x, y: substring_distance(x, y, sub, ins, dele), "double")
+def _lists(values: pa.Array, sizes: list[int], missing: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values, mask=missing)
 
 
 def path_udf(sub: float = 1, ins: float = 1, dele: float = 1):
-    return _pandas(lambda x, y: path(x, y, sub, ins, dele), "array<int>")
+    """path() of two array columns, NULL where either is."""
+
+    @F.arrow_udf("array<int>")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        paths = many(*_coded(a, b), sub, ins, dele)[1]
+        return _lists(pa.array(np.concatenate([np.zeros(0, np.int8), *paths]).astype(np.int32)), [len(p) for p in paths], _missing(a, b))
+
+    return run
 
 
 def alignment_udf(sub: float = 1, ins: float = 1, dele: float = 1):
-    return _pandas(lambda x, y: [{"src": s, "tgt": t} for s, t in alignment(x, y, sub, ins, dele)], "array<struct<src:string,tgt:string>>")
+    """alignment() of two array columns of strings, NULL where either is."""
+
+    @F.arrow_udf("array<struct<src:string,tgt:string>>")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        src, tgt = _coded(a, b)
+        paths = many(src, tgt, sub, ins, dele)[1]
+        steps = np.concatenate([np.zeros(0, np.int8), *paths])
+        # all elements are used in their order
+        sides = [values.flatten().take(pa.array(np.cumsum(steps != skip) - 1, mask=steps == skip)) for values, skip in ((a, TARGET), (b, SOURCE))]
+        return _lists(pa.StructArray.from_arrays([x.cast(pa.string()) for x in sides], ["src", "tgt"]), [len(p) for p in paths], _missing(a, b))
+
+    return run
+
+
+def _pandas(f, returns: str):
+    """A pandas UDF of two array columns; NULL where either is."""
+
+    @F.pandas_udf(returns)
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else f(list(x), list(y)) for x, y in zip(a, b)], dtype=object if "array" in returns else None)
+
+    return run
+
+
+def substring_distance_udf(sub: float = 1, ins: float = 1, dele: float = 1):
+    return _pandas(lambda x, y: substring_distance(x, y, sub, ins, dele), "double")
 
 
 def substring_alignment_udf(sub: float = 1, ins: float = 1, dele: float = 1):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quirekit.functions.geometry import convex_hull, resample
+from quirekit.functions.geometry import area, box, clipped, convex_hull, resample
 
 #: Rows of pages that a task labels at once, at least where there are so many.
 PAGE_ROWS = 20_000
@@ -81,6 +81,24 @@ def assigned(lines: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
+def clipped_parts(lines: DataFrame, regions: DataFrame) -> DataFrame:
+    """(page, region, line, part, area): what of each line's edge (page, line, edge) lies in each region's (page, region, edge), a convex polygon, where that is more than nothing.
+
+    Pairs are those whose boxes overlap; only they are clipped."""
+    boxed = lambda df, *keys: df.select(*keys, "edge", box(F.col("edge")).alias("b"))
+    r = boxed(regions, "page", "region").withColumnsRenamed({"edge": "region_edge", "b": "rb"})
+    apart = lambda pos, size: (F.col(f"b.{pos}") < F.col(f"rb.{pos}") + F.col(f"rb.{size}")) & (F.col(f"b.{pos}") + F.col(f"b.{size}") > F.col(f"rb.{pos}"))
+    pairs = boxed(lines, "page", "line").join(r, "page").where(apart("hpos", "width") & apart("vpos", "height"))
+
+    @F.pandas_udf("struct<part:array<struct<x:double,y:double>>,area:double>")
+    def clip(edge: pd.Series, region: pd.Series) -> pd.DataFrame:
+        of = lambda ps: np.array([(p["x"], p["y"]) for p in ps], float)
+        parts = [clipped(of(a), of(b)) for a, b in zip(edge, region)]
+        return pd.DataFrame({"part": [[{"x": float(x), "y": float(y)} for x, y in p] for p in parts], "area": [float(area(p)) if len(p) else 0.0 for p in parts]})
+
+    return pairs.select("page", "region", "line", clip("edge", "region_edge").alias("c")).select("page", "region", "line", "c.part", "c.area").where("area > 0")
+
+
 def grid_overlaps(a: DataFrame, b: DataFrame, cell: float, by: list[str]) -> DataFrame:
     """Pairs of boxes (id, x0, y0, x1, y1) of two tables that overlap within the keys `by`, as (by, id, other): by the cells of a grid, so pages of many boxes need no quadratic join. A pair is given in the cell of its overlap's corner only."""
     cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
@@ -93,12 +111,15 @@ def grid_overlaps(a: DataFrame, b: DataFrame, cell: float, by: list[str]) -> Dat
 
 def row_pairs(lines: DataFrame) -> DataFrame:
     """(page, line, other) of lines in one row: vertical extents overlap by over 0.7 of the lower height, neither is within the other's reach along x, and the gap is below twice the lower height."""
-    b = lines.select("page", *(F.col(c).alias(f"_{c}") for c in ("line", "x", "y", "w", "h")))
+    reach = 2 * F.col("h")  # the gap of a pair is below twice the lower height, so one of the two boxes, grown by its own, meets the other
+    grown = lines.select("page", F.col("line").alias("id"), (F.col("x") - reach).alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w") + reach).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))
+    near = grid_overlaps(grown, grown, 256.0, ["page"]).where("id < other").select("page", F.col("id").alias("line"), "other")
+    b = lines.select("page", F.col("line").alias("other"), *(F.col(c).alias(f"_{c}") for c in ("x", "y", "w", "h")))
     low = F.least("h", "_h")
     overlap = F.least(F.col("y") + F.col("h"), F.col("_y") + F.col("_h")) - F.greatest("y", "_y")
     inside = ((F.col("x") < F.col("_x")) & (F.col("x") + F.col("w") > F.col("_x") + F.col("_w"))) | ((F.col("_x") < F.col("x")) & (F.col("_x") + F.col("_w") > F.col("x") + F.col("w")))
     gap = F.greatest("x", "_x") - F.least(F.col("x") + F.col("w"), F.col("_x") + F.col("_w"))
-    return lines.join(b, "page").where("line < _line").where((overlap > 0.7 * low) & ~inside & (gap < 2 * low)).select("page", "line", F.col("_line").alias("other"))
+    return near.join(lines, ["page", "line"]).join(b, ["page", "other"]).where((overlap > 0.7 * low) & ~inside & (gap < 2 * low)).select("page", "line", "other")
 
 
 def near_pairs(lines: DataFrame, by: float) -> DataFrame:

@@ -93,15 +93,18 @@ def j08(s, d):
 
 @query("j09_clipped", f"WITH {_ASSIGNED} SELECT page, region, line, round((x1 - x0) * (y1 - y0), 4)::DOUBLE AS area FROM assigned")
 def j09(s, d):
-    r = regions(s, d).select("page", "region", ge.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("edge"))
-    pairs = lines(s, d).select("page", "line", ge.rectangle(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")).alias("shape")).join(r, "page")
-
-    @F.pandas_udf("double")
-    def part(shape: pd.Series, edge: pd.Series) -> pd.Series:
-        of = lambda ps: np.array([(p["x"], p["y"]) for p in ps])
-        return pd.Series([round(ge.area(ge.clipped(of(a), of(b))), 4) for a, b in zip(shape, edge)])
-
-    return pairs.select("page", "region", "line", part("shape", "edge").alias("area")).where("area > 0")
+    edge = lambda df, *keys: df.select(*keys, ge.rectangle(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))).alias("edge"))
+    shapes = lines(s, d).withColumns({"x0": F.col("x"), "y0": F.col("y"), "x1": F.col("x") + F.col("w"), "y1": F.col("y") + F.col("h")})
+    return la.clipped_parts(edge(shapes, "page", "line"), edge(regions(s, d), "page", "region")).select("page", "region", "line", F.round("area", 4).alias("area"))
+
+
+@query("j09_clipped_polygons")
+def j09_polygons(s, d):
+    """Slanted lines in six-sided regions."""
+    point = lambda x, y: F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"))
+    shapes = lines(s, d).select("page", "line", F.array(point("x", "y"), point("x + w", "y + h / 2"), point("x + w", "y + 3 * h / 2"), point("x", "y + h")).alias("edge"))
+    six = regions(s, d).select("page", "region", F.array(*(point(x, y) for x, y in (("x0 + 100", "y0"), ("x1 - 100", "y0"), ("x1", "y1 / 2"), ("x1 - 100", "y1"), ("x0 + 100", "y1"), ("x0", "y1 / 2")))).alias("edge"))
+    return la.clipped_parts(shapes, six).select("page", "region", "line", F.round("area", 4).alias("area"))
 
 
 @query("j10_row_pairs", f"""WITH {LINES} SELECT a.page, a.line, b.line AS other FROM lines a JOIN lines b ON a.page = b.page AND a.line < b.line

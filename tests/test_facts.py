@@ -142,3 +142,41 @@ def test_arabic():
     assert ar.reordered("سلام") == "مالس" and ar.reordered("abc سلام") == "مالس abc"
     shaped = ar.shaped("سلام")
     assert shaped == "ﺳﻼﻡ" and ar.ligature_map(shaped) == [[0], [1, 2], [3]]
+
+
+def test_alignments_in_batches(spark):
+    """The UDFs, which fill the tables of many pairs together, against the tables of one pair each; nulls are elements."""
+    rng = random.Random(17)
+    some = lambda: [rng.choice(["a", "b", "c", None]) for _ in range(rng.randrange(0, 25))]
+    rows = [(i, some(), some()) for i in range(150)] + [(150, None, ["a"]), (151, ["a"], None)]
+    df = spark.createDataFrame(rows, "i int, x array<string>, y array<string>")
+    for costs in ((1, 1, 1), (1.5, 0.5, 1)):
+        out = df.select("i", "x", "y", seq.alignment_udf(*costs)("x", "y").alias("al"), seq.path_udf(*costs)("x", "y").alias("path"), seq.distance_udf(*costs)("x", "y").alias("d")).collect()
+        for r in out:
+            if r.x is None or r.y is None:
+                assert r.al is None and r.path is None and r.d is None
+            else:
+                assert [(p.src, p.tgt) for p in r.al] == seq.alignment(r.x, r.y, *costs) and r.path == seq.path(r.x, r.y, *costs) and abs(r.d - seq.distance(r.x, r.y, *costs)) < 1e-9
+
+
+def test_clipped_parts_against_points(spark):
+    """Areas of slanted shapes in regions against the share of a fine grid's points that lie in both."""
+    from quirekit.operators.layout import clipped_parts
+
+    rng = np.random.default_rng(8)
+    hull = lambda: ge.convex_hull(rng.uniform(0, 100, (7, 2)))
+    lines, regions = ([(1, i, [{"x": float(x), "y": float(y)} for x, y in hull()]) for i in range(6)] for _ in range(2))
+    edge = "edge array<struct<x:double,y:double>>"
+    got = {(r.line, r.region): r.area for r in clipped_parts(spark.createDataFrame(lines, f"page int, line int, {edge}"), spark.createDataFrame(regions, f"page int, region int, {edge}")).collect()}
+    grid = np.stack(np.meshgrid(np.arange(0.25, 100, 0.5), np.arange(0.25, 100, 0.5)), -1).reshape(-1, 2)
+
+    def inside(poly):
+        p = np.array([(q["x"], q["y"]) for q in poly])
+        d = np.roll(p, -1, axis=0) - p
+        side = d[:, None, 0] * (grid[None, :, 1] - p[:, None, 1]) - d[:, None, 1] * (grid[None, :, 0] - p[:, None, 0])
+        return (side >= 0).all(axis=0) | (side <= 0).all(axis=0)
+
+    for _, i, a in lines:
+        for _, j, b in regions:
+            want = (inside(a) & inside(b)).sum() / 4
+            assert abs(got.get((i, j), 0.0) - want) < 40
