@@ -1,6 +1,7 @@
 """Literal facts about the functions: alignments, decoders, forced alignment, confusion networks, geometry, Arabic text."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -151,12 +152,12 @@ def test_alignments_in_batches(spark):
     rows = [(i, some(), some()) for i in range(150)] + [(150, None, ["a"]), (151, ["a"], None)]
     df = spark.createDataFrame(rows, "i int, x array<string>, y array<string>")
     for costs in ((1, 1, 1), (1.5, 0.5, 1)):
-        out = df.select("i", "x", "y", seq.alignment_udf(*costs)("x", "y").alias("al"), seq.path_udf(*costs)("x", "y").alias("path"), seq.distance_udf(*costs)("x", "y").alias("d")).collect()
+        out = df.select("i", "x", "y", sq.alignment_udf(*costs)("x", "y").alias("al"), sq.path_udf(*costs)("x", "y").alias("path"), sq.distance_udf(*costs)("x", "y").alias("d")).collect()
         for r in out:
             if r.x is None or r.y is None:
                 assert r.al is None and r.path is None and r.d is None
             else:
-                assert [(p.src, p.tgt) for p in r.al] == seq.alignment(r.x, r.y, *costs) and r.path == seq.path(r.x, r.y, *costs) and abs(r.d - seq.distance(r.x, r.y, *costs)) < 1e-9
+                assert [(p.src, p.tgt) for p in r.al] == sq.alignment(r.x, r.y, *costs) and r.path == sq.path(r.x, r.y, *costs) and abs(r.d - sq.distance(r.x, r.y, *costs)) < 1e-9
 
 
 def test_clipped_parts_against_points(spark):
