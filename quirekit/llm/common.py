@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -72,6 +73,15 @@ def rebatched(it: Iterator[pa.RecordBatch], rows: int = 1 << 14) -> Iterator[pa.
     for batch in it:
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
+    _release()
+
+
+def _release() -> None:
+    """Has a worker give back the memory that it has freed; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
 
 
 def id_type(df: DataFrame, name: str = "doc_id") -> str:
