@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirekit.llm.common import BROADCAST_ROWS, fresh, id_type, n_tokens, narrow_join, saved
+from quirekit.llm.common import BROADCAST_ROWS, fresh, id_type, narrow_join, saved
 
 DIMS = ("source", "lang", "topic")
 #: A marginal's targets: shares by category, or the power of the observed shares that they follow (0: all equal, 1: as observed).
@@ -22,13 +22,13 @@ def topic_of(text: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, lang, topic, tokens) of each row: tokens are those that packing counts; null categories and topics of null texts are ''."""
+    """(doc_id, source, lang, topic, tokens) of each row: tokens are runs of characters between blanks, as in the SQL (packing counts signs, too); null categories and topics of null texts are ''."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast(id_type(docs)).alias("doc_id"),
         *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")),
         topic_of(text).alias("topic"),
-        n_tokens(text).cast("bigint").alias("tokens"),
+        F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f]+")).cast("bigint").alias("tokens"),
     )
 
 

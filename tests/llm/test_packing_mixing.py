@@ -127,3 +127,19 @@ def test_sampled_documents(spark, docs_of, odd, none):
     assert len({r.sampled for r in rows if r.doc_id == 1}) == 1
     assert mx.mixed_documents(odd).columns == odd.columns
     assert mx.mixed(none).collect() == mx.mixed_documents(none).collect() == []
+
+
+def test_mixing_against_its_sql(spark, tmp_path, odd):
+    """Signs that touch words, blanks of every kind, nulls and other odd rows."""
+    import duckdb
+
+    texts = ["a, b; (c) d.e", "x\ty\x0bz\x0cw\nv", "one\r\ntwo \r three", "...", "a = \"b\" @c", "p | q", "\u00a0 k\u2003l"]
+    more = spark.createDataFrame([(100 + i, t, "fr" if i % 2 else "en", f"s{i % 3}") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string")
+    odd.select("doc_id", "text", "lang", "source").union(more).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.execute(mx.ORACLE_SQL).fetchall()
+    got = [tuple(r) for r in mx.op8_mixing(spark, str(tmp_path)).collect()]
+    key = lambda r: (r[0] is None, *map(str, r[:5]))
+    for x, y in zip(sorted(want, key=key), sorted(got, key=key), strict=True):
+        assert x[:5] == y[:5] and x[7] == y[7] and abs(x[5] - y[5]) < 2e-6 and abs(x[6] - y[6]) < 2e-6
