@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from quirekit.llm import near_duplicates as nd
 from quirekit.llm import signatures as sg
-from quirekit.llm.fingerprints import fingerprints
+from quirekit.llm.fingerprints import fingerprints, similar_pairs
 from quirekit.llm.words import shingles, words
 
 from .conftest import prose
@@ -162,3 +162,21 @@ def test_odd_rows(odd, none):
     rows = {r.doc_id: r for r in fingerprints(odd).collect()}
     assert rows[2].fingerprint is None and rows[3].n_shingles == 0 and None not in rows and rows[5].n_shingles > 59_000
     assert nd.near_duplicates(none).collect() == fingerprints(none).collect() == nd.without_near_duplicates(none).collect() == []
+
+
+def test_all_links_of_fingerprints(docs_of):
+    """Every pair at the threshold, copies as one class; pairs among copies of one original are nearer to some than to others."""
+    rng = random.Random(12)
+    docs = corpus(rng) + [(1000 + i, t) for i, t in star(random.Random(13), 3, 120)]
+    docs += [(2000 + i, " ".join(f"v{j}" for j in range(i, i + 39))) for i in range(60)]  # runs of one text, among them pairs of exactly 0.8
+    of = sets(docs, 4)
+    first = {}
+    for i, s in sorted(of.items()):
+        first.setdefault(frozenset(s), i)
+    firsts = sorted(first.values())
+    want = {(i, j) for i in firsts for j in firsts if j < i and len(of[i] & of[j]) >= 0.8 * len(of[i] | of[j]) - 1e-12}
+    assert {(r.doc_id, r.other) for r in similar_pairs(docs_of(docs)).collect()} == want
+    assert any(5 * len(of[i] & of[j]) == 4 * len(of[i] | of[j]) for i, j in want)
+    rows = {r.doc_id: r for r in fingerprints(docs_of(docs)).collect()}
+    for i, r in rows.items():
+        assert r.class_id == first[frozenset(of[i])] and r.n_links == sum(r.class_id in p for p in want)
