@@ -167,19 +167,29 @@ def _asked(docs: DataFrame, left: DataFrame, twice: DataFrame, k: int, share: fl
     return saved(asks.drop("print"))
 
 
-def _held(docs: DataFrame, asks: DataFrame, twice: DataFrame, k: int) -> DataFrame:
-    """(doc_id, size, key): the documents' shingles that are asked for, and some that pass the filter by chance."""
+def passing(texts: list[str], k: int, bloom: np.ndarray, sizes: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+    """(place, shingles that pass the filter, ascending, and the whole set if sizes) of each text with some that pass. Shingles are filtered before they are sorted."""
+    for lo, hi in batches(texts):
+        h, _, _, first, _ = words(texts[lo:hi])
+        x, at = shingles(h, first, k)
+        good = np.flatnonzero(_passes(x, bloom))
+        ends = np.searchsorted(good, at)
+        for i in np.flatnonzero(np.diff(ends)).tolist():
+            yield lo + i, np.unique(x[good[ends[i] : ends[i + 1]]]), np.unique(x[at[i] : at[i + 1]]) if sizes else None
+
+
+def _held(docs: DataFrame, asks: DataFrame, twice: DataFrame, k: int, sizes: bool) -> DataFrame:
+    """(doc_id, size, key): the documents' shingles that are asked for, and some that pass the filter by chance. size is 0 where sizes aren't wanted."""
     bloom = docs.sparkSession.sparkContext.broadcast(_filter(asks))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(it, 1024):
             at, keys, size, prints = [], [], [], []
-            for i, s in enumerate(sets_of(column(batch, "text").to_pylist(), k)):
-                own = s[_passes(s, bloom.value)]
+            for i, own, s in passing(column(batch, "text").to_pylist(), k, bloom.value, sizes or several):
                 if len(own):
                     at.append(np.full(len(own), i))
                     keys.append(own)
-                    size.append(np.full(len(own), len(s), np.int32))
+                    size.append(np.full(len(own), 0 if s is None else len(s), np.int32))
                     prints += [print_of(s)] * len(own) if several else [None] * len(own)
             at, size = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (at, size))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(pa.array(at, pa.int64())), pa.array(size, pa.int32()), pa.array(prints, pa.binary()), pa.array((np.concatenate(keys) if keys else np.zeros(0, np.uint64)).view(np.int64))], ["doc_id", "size", "print", "key"])
@@ -200,7 +210,7 @@ def sought(docs: DataFrame, signs: DataFrame, matched: DataFrame, twice: DataFra
     left = saved(narrow_join(signs.select("doc_id", "size", "print"), matched, "doc_id", "left_anti"))
     for samples in SAMPLES:
         asks = _asked(docs, left, twice, k, share, samples)
-        counts = _held(docs, asks, twice, k).groupBy("key").agg(F.count("*").alias("n_holders")).where("n_holders > 1")
+        counts = _held(docs, asks, twice, k, False).groupBy("key").agg(F.count("*").alias("n_holders")).where("n_holders > 1")
         some = asks.join(counts, "key").withColumn("n_held", F.count("*").over(W.partitionBy("doc_id"))).where("n_held > n - enough")
         if samples != SAMPLES[-1]:
             fewer = saved(left.join(some.select("doc_id").distinct(), "doc_id", "left_semi"))
@@ -209,7 +219,7 @@ def sought(docs: DataFrame, signs: DataFrame, matched: DataFrame, twice: DataFra
     place = F.row_number().over(W.partitionBy("doc_id").orderBy("n_holders", "key")) + F.col("n") - F.col("n_held")
     few = saved(some.withColumn("place", place).where("place <= enough").select("key", "doc_id", "size"))
     dropped(left, asks)
-    held = _held(docs, few, twice, k)
+    held = _held(docs, few, twice, k, True)
     pairs = few.join(held.select("key", F.col("doc_id").alias("other"), F.col("size").alias("other_size")), "key").where(f"doc_id <> other and {before}")
     return pairs.groupBy("doc_id", "other", "size", "other_size").agg(F.count("*").cast("int").alias("agree"))
 

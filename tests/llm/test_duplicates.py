@@ -180,3 +180,16 @@ def test_all_links_of_fingerprints(docs_of):
     rows = {r.doc_id: r for r in fingerprints(docs_of(docs)).collect()}
     for i, r in rows.items():
         assert r.class_id == first[frozenset(of[i])] and r.n_links == sum(r.class_id in p for p in want)
+
+
+def test_passing_shingles():
+    """Shingles filtered before they are sorted are those of the filtered sets."""
+    rng = random.Random(14)
+    texts = ["", "one", "a b", *(prose(rng, rng.randrange(1, 300), 40) for _ in range(300)), "", "x y z x y z x y z"]
+    bloom = np.random.default_rng(3).integers(0, 1 << 63, 1 << 10, np.uint64)
+    sets_ = list(sg.sets_of(texts, 3))
+    want = {i: s[sg._passes(s, bloom)] for i, s in enumerate(sets_)}
+    for sizes in (True, False):
+        got = {i: (own, s) for i, own, s in sg.passing(texts, 3, bloom, sizes)}
+        assert set(got) == {i for i, w in want.items() if len(w)} and len(got) > 100
+        assert all((own == want[i]).all() and len(own) == len(want[i]) and (s is None or (s == sets_[i]).all()) and (s is None) != sizes for i, (own, s) in got.items())
