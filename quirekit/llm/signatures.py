@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quirekit.llm.common import column, dropped, id_type, narrow_join, rebatched, saved
+from quirekit.llm.common import BROADCAST_ROWS, column, dropped, id_type, narrow_join, rebatched, saved
+from quirekit.llm.filters import likely, sent_filter
+from quirekit.llm.filters import passes as _passes
 from quirekit.llm.words import U64, batches, mix, shingles, words
 
 #: The second look takes about so many shingles of a document, twice as many at most, first to see whether others have enough of them, and then to find which; in each round it misses
 #: a pair at the threshold with this probability.
 SAMPLES, MISS = (16, 128), 0.025
-#: Bits of the filter of asked shingles: its size is the same whatever the data. The fuller it is, the more shingles are moved.
-BLOOM_BITS = 1 << 26
 
 
 def permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,47 +124,36 @@ def least_shared(n: np.ndarray, size: np.ndarray, share: float) -> np.ndarray:
     return np.where(n == size, exact, [table[k] for k in n.tolist()]).astype(np.int32)
 
 
-def _filter(asks: DataFrame) -> np.ndarray:
-    """A Bloom filter of the keys in asks, of BLOOM_BITS bits: words of it are aggregated, so that is also the most that comes to the driver."""
-    words_of = BLOOM_BITS // 64
-    bits = [F.struct(F.expr(f"cast((shiftrightunsigned(key, {a}) & {words_of - 1}) as int)").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {b}) & 63 as int))").alias("bit")) for a, b in ((0, 20), (26, 46))]
-    got = asks.select(F.explode(F.array(*bits)).alias("b")).groupBy("b.word").agg(F.bit_or("b.bit").alias("bits")).toArrow()
-    out = np.zeros(words_of, np.uint64)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
-def _passes(x: np.ndarray, bloom: np.ndarray) -> np.ndarray:
-    m = U64(len(bloom) - 1)
-    one = U64(1)
-    return ((bloom[(x & m).astype(np.int64)] >> (x >> U64(20) & U64(63))) & (bloom[(x >> U64(26) & m).astype(np.int64)] >> (x >> U64(46) & U64(63))) & one).astype(bool)
-
-
 def _asked(docs: DataFrame, left: DataFrame, twice: DataFrame, k: int, share: float, samples: int) -> DataFrame:
-    """(doc_id, size, key, n, enough), saved: the sampled shingles of the documents in left (doc_id, size, print; saved), their number and how many of the rarest are enough to ask with."""
+    """(doc_id, size, key, n, enough), saved: the sampled shingles of the documents in left (doc_id, size, print; saved), their number and how many of the rarest are enough to ask with.
+
+    Where left is too large to be broadcast, all documents are sampled and their samples joined with it, not their texts."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(it, 1024):
-            at, keys, size, prints, n = [], [], [], [], []
+            at, keys, size, prints = [], [], [], []
             for i, s in enumerate(sets_of(column(batch, "text").to_pylist(), k)):
                 if len(s):
-                    own = s[mix(s) <= U64(min((1 << 64) - 1, (samples << 64) >> int(math.log2(len(s)))))]
-                    at.append(np.full(len(own), i))
-                    keys.append(own)
-                    n.append(np.full(len(own), len(own)))
-                    size.append(np.full(len(own), len(s), np.int32))
-                    prints += [print_of(s)] * len(own) if several else [None] * len(own)
-            at, n, size = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (at, n, size))
+                    at.append(i)
+                    keys.append(s[mix(s) <= U64(min((1 << 64) - 1, (samples << 64) >> int(math.log2(len(s)))))])
+                    size.append(len(s))
+                    prints.append(print_of(s) if several else None)
+            n = np.array([len(x) for x in keys], np.int64)
+            ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((np.concatenate(keys) if keys else np.zeros(0, np.uint64)).view(np.int64)))
+            size = np.array(size, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id").take(pa.array(at, pa.int64())), pa.array(size, pa.int32()), pa.array(prints, pa.binary()), pa.array((np.concatenate(keys) if keys else np.zeros(0, np.uint64)).view(np.int64)), pa.array(n, pa.int32()), pa.array(least_shared(n, size, share))],
-                ["doc_id", "size", "print", "key", "n", "enough"],
+                [column(batch, "doc_id").take(pa.array(at, pa.int64())), pa.array(size, pa.int32()), pa.array(prints, pa.binary()), lists, pa.array(n, pa.int32()), pa.array(least_shared(n, size, share))],
+                ["doc_id", "size", "print", "keys", "n", "enough"],
             )
 
-    several = not twice.isEmpty()
-    asks = narrow_join(docs, left.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, f"doc_id {id_type(docs)}, size int, print binary, key bigint, n int, enough int")
+    several, many = not twice.isEmpty(), left.count() > BROADCAST_ROWS
+    asks = (docs if many else narrow_join(docs, left.select("doc_id"), "doc_id", "left_semi")).mapInArrow(run, f"doc_id {id_type(docs)}, size int, print binary, keys array<bigint>, n int, enough int")
     if several:
-        asks = asks.join(left.hint("merge"), ["doc_id", "size", "print"], "left_semi").dropDuplicates(["doc_id", "key"])
-    return saved(asks.drop("print"))
+        asks = asks.join(left.hint("merge"), ["doc_id", "size", "print"], "left_semi").dropDuplicates(["doc_id"])
+    elif many:
+        asks = asks.join(left.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    return saved(asks.select("doc_id", "size", F.explode("keys").alias("key"), "n", "enough"))
 
 
 def passing(texts: list[str], k: int, bloom: np.ndarray, sizes: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
@@ -180,7 +169,7 @@ def passing(texts: list[str], k: int, bloom: np.ndarray, sizes: bool) -> Iterato
 
 def _held(docs: DataFrame, asks: DataFrame, twice: DataFrame, k: int, sizes: bool) -> DataFrame:
     """(doc_id, size, key): the documents' shingles that are asked for, and some that pass the filter by chance. size is 0 where sizes aren't wanted."""
-    bloom = docs.sparkSession.sparkContext.broadcast(_filter(asks))
+    bloom = sent_filter(asks, asks.count())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(it, 1024):
@@ -249,7 +238,7 @@ def agreeing(links: DataFrame, signs: DataFrame, floor: str, n_hashes: int) -> D
 
 
 def needed_sets(docs: DataFrame, ids: DataFrame, twice: DataFrame, k: int) -> DataFrame:
-    """(doc_id, items) of the documents in ids (saved, one column doc_id): their shingle sets; of the doc_ids in twice (doc_id, size, print) the sets that it names."""
+    """(doc_id, items) of the documents in ids (saved, one column doc_id): their shingle sets, and a few others' by chance; of the doc_ids in twice (doc_id, size, print) the sets that it names."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(it, 512):
@@ -258,7 +247,7 @@ def needed_sets(docs: DataFrame, ids: DataFrame, twice: DataFrame, k: int) -> Da
                 [column(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([print_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "size", "print", "items"]
             )
 
-    found = narrow_join(docs, ids, "doc_id", "left_semi").mapInArrow(run, f"doc_id {id_type(docs)}, size int, print binary, items binary")
+    found = likely(docs, ids).mapInArrow(run, f"doc_id {id_type(docs)}, size int, print binary, items binary")
     return one_each(found, twice, ["doc_id"]).select("doc_id", "items")
 
 

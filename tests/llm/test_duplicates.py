@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 from pyspark.sql import functions as F
+from quirekit.llm import filters as fl
 from quirekit.llm import near_duplicates as nd
 from quirekit.llm import signatures as sg
 from quirekit.llm.fingerprints import fingerprints, similar_pairs
@@ -193,3 +194,28 @@ def test_passing_shingles():
         got = {i: (own, s) for i, own, s in sg.passing(texts, 3, bloom, sizes)}
         assert set(got) == {i for i, w in want.items() if len(w)} and len(got) > 100
         assert all((own == want[i]).all() and len(own) == len(want[i]) and (s is None or (s == sets_[i]).all()) and (s is None) != sizes for i, (own, s) in got.items())
+
+
+def test_filters_grow_with_their_keys(spark, monkeypatch):
+    """All keys pass and few others do, beyond the least size, too."""
+    monkeypatch.setattr(fl, "LEAST_BITS", 1 << 12)
+    x = np.random.default_rng(5).integers(0, 1 << 64, 200_000, np.uint64)
+    keys = spark.createDataFrame([(int(v),) for v in x[:100_000].view(np.int64)], "key bigint")
+    bloom = fl.sent_filter(keys, 100_000).value
+    assert 64 * len(bloom) <= 12 * 100_000 and fl.passes(x[:100_000], bloom).all() and fl.passes(x[100_000:], bloom).mean() < 0.03
+
+
+def test_more_ids_than_are_broadcast(docs_of, monkeypatch):
+    """Without broadcasts of ids and with full filters, the same duplicates are found, and no text is shuffled for them."""
+    df = docs_of(corpus(random.Random(15))[:250])
+    rows = lambda: {tuple(r) for r in nd.near_duplicates(df).collect()}
+    want = rows()
+    for m in (sg, fl):
+        monkeypatch.setattr(m, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(fl, "LEAST_BITS", 1 << 12)
+    monkeypatch.setattr(fl, "MOST_BITS", 1 << 13)
+    assert rows() == want and len(want) > 80
+    ids = df.where("doc_id < 100").select("doc_id")
+    got = fl.likely(df, ids)
+    assert {r.doc_id for r in got.select("doc_id").collect()} >= set(range(100))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
