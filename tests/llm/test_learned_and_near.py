@@ -265,6 +265,23 @@ def test_passages_of_odd_rows(odd, none):
     assert ps.repeated_passages(none).collect() == []
 
 
+def test_only_repeating_seeds_are_moved(docs_of):
+    """Seeds that one document alone has don't get past the scan, and all that more than one has do."""
+    rng = random.Random(23)
+    shared = prose(rng, 30, 100_000)
+    docs = docs_of([(i, " ".join([prose(rng, 200, 100_000), shared if i % 5 == 0 else "", *[prose(rng, 9, 100_000)] * 2])) for i in range(50)])
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    holders = {}
+    x, owner, _, _, _ = ps.placed_seeds(texts, 0, len(texts))
+    for v, i in zip(x.view(np.int64).tolist(), owner.tolist()):
+        holders.setdefault(v, set()).add(i)
+    want = {v for v, ids in holders.items() if len(ids) > 1}
+    keys = ps.shared_seeds(docs)
+    assert {r.key for r in keys.collect()} == want and 3 < len(want) < 40
+    rows = ps.seeds(docs, ps.sent_filter(keys, len(want))).collect()
+    assert {r.seed for r in rows} >= want and len(rows) <= 10 * len(want) + 5
+
+
 def test_whole_copies_are_reported(docs_of):
     rng = random.Random(10)
     t = prose(rng, 90, 9999)
