@@ -242,6 +242,18 @@ def test_passages_nearer_to_others_than_to_the_first(docs_of):
     assert sum(i in got for i in range(151, 300)) >= 0.9 * 149  # 0.906; the README says why not more
 
 
+def test_partners_behind_rarer_seeds(docs_of):
+    """A changed copy is found though its rarest seeds all lie in scraps elsewhere, and the first and the last of those that share the others are too unlike."""
+    rng = random.Random(24)
+    base = prose(rng, 90, 100_000).split()
+    docs = [base if i == 20 else edited(rng, base, 0.25, i) for i in range(40)]
+    last = [f"mine{j}" if j % 7 == 3 else w for j, w in enumerate(base)]
+    scraps = [[w for j in range(90) if j % 7 == 3 and j // 7 % 3 == k for w in [*prose(rng, 25, 100_000).split(), *last[max(0, j - 6) : j + 7]]] for k in range(3)]
+    docs = [(i, " ".join([*prose(rng, 30, 100_000).split(), *ws, *prose(rng, 30, 100_000).split()])) for i, ws in enumerate([*docs, *scraps, last])]
+    got = [r for r in ps.repeated_passages(docs_of(docs)).collect() if r.doc_id == 43]
+    assert any(r.other == 20 and r.n_words >= 80 for r in got)
+
+
 def test_subsequences_against_the_table():
     rng = random.Random(22)
     for _ in range(200):
