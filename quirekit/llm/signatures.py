@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -237,14 +237,14 @@ def agreeing(links: DataFrame, signs: DataFrame, floor: str, n_hashes: int) -> D
     return both.select("doc_id", "other", "size", "other_size", same("sig", "other_sig").alias("agree")).where(F.expr(f"agree >= {floor}"))
 
 
-def needed_sets(docs: DataFrame, ids: DataFrame, twice: DataFrame, k: int) -> DataFrame:
-    """(doc_id, items) of the documents in ids (saved, one column doc_id): their shingle sets, and a few others' by chance; of the doc_ids in twice (doc_id, size, print) the sets that it names."""
+def needed_sets(docs: DataFrame, ids: DataFrame, twice: DataFrame, k: int, packed: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> DataFrame:
+    """(doc_id, items) of the documents in ids (saved, one column doc_id): their shingle sets as packed makes them, and a few others' by chance; of the doc_ids in twice (doc_id, size, print) the sets that it names."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(it, 512):
             sets = list(sets_of(column(batch, "text").to_pylist(), k))
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([print_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "size", "print", "items"]
+                [column(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([print_of(s) for s in sets], pa.binary()), pa.array([packed(s) for s in sets], pa.binary())], ["doc_id", "size", "print", "items"]
             )
 
     found = likely(docs, ids).mapInArrow(run, f"doc_id {id_type(docs)}, size int, print binary, items binary")

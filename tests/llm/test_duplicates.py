@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from quirekit.llm import filters as fl
 from quirekit.llm import near_duplicates as nd
+from quirekit.llm import set_join as sj
 from quirekit.llm import signatures as sg
 from quirekit.llm.fingerprints import fingerprints, similar_pairs
 from quirekit.llm.words import shingles, words
@@ -183,6 +184,32 @@ def test_all_links_of_fingerprints(docs_of):
         assert r.class_id == first[frozenset(of[i])] and r.n_links == sum(r.class_id in p for p in want)
 
 
+def test_sets_are_moved_for_links_only(docs_of, monkeypatch):
+    """Pairs of a similarity of 0.6 to 0.75 have common keys enough; their sets aren't moved. Sketches drop no pair at the threshold, whatever the sizes."""
+    rng = random.Random(21)
+    docs = []
+    for i in range(0, 120, 2):
+        base = [f"u{rng.randrange(10**9)}" for _ in range(rng.randrange(300, 900))]
+        n = int(len(base) * (rng.uniform(0.14, 0.25) if i % 8 else rng.uniform(0.05, 0.12)))
+        docs += [(i, " ".join(base)), (i + 1, " ".join(base[:-n] + [f"n{rng.randrange(10**9)}" for _ in range(n)]))]
+    of = sets(docs, 4)
+    links = {(i + 1, i) for i in range(0, 120, 2) if len(of[i] & of[i + 1]) >= 0.8 * len(of[i] | of[i + 1])}
+    asked, whole = [], sg.needed_sets
+
+    def needed(docs, ids, twice, k, *packed):
+        asked.extend([] if packed else [r.doc_id for r in ids.collect()])
+        return whole(docs, ids, twice, k, *packed)
+
+    monkeypatch.setattr(sj, "needed_sets", needed)
+    assert {(r.doc_id, r.other) for r in similar_pairs(docs_of(docs)).collect()} == links
+    assert {i for p in links for i in p} <= set(asked) and len(set(asked)) < 2 * len(links) + 20
+    for n, m in ((1, 1), (3, 4), (80, 100), (127, 129), (500, 1000), (4096, 5000)):
+        x = np.array([rng.randrange(1 << 64) for _ in range(n + m)], np.uint64)
+        s, t = np.unique(x[:n]), np.unique(x[n // 5 : n // 5 + m])
+        total, apart = sj.differing(sj.sketch(s), sj.sketch(t))
+        assert total == n + m and apart <= len(np.setxor1d(s, t))
+
+
 def test_passing_shingles():
     """Shingles filtered before they are sorted are those of the filtered sets."""
     rng = random.Random(14)
