@@ -163,6 +163,32 @@ def planted(rng):
     return docs, where
 
 
+def test_chains_of_reachable_segments():
+    """The groups of segments that are left give all chains that match and reach enough, and most chance segments are left out."""
+    rng = np.random.default_rng(31)
+    kept = total = found = 0
+    for _ in range(60):
+        rows = []
+        for pair in range(12):
+            n = int(rng.integers(1, 9))
+            i0 = rng.integers(0, 60 if pair % 3 == 0 else 3000, n)
+            long = rng.integers(ps.K, 15, n)
+            rows += [(pair, d, i, i + w, w) for d, i, w in sorted(set(zip(rng.integers(-9, 9, n).tolist() if pair % 2 else rng.integers(-900, 900, n).tolist(), i0.tolist(), long.tolist())))]
+        g, d, i0, i1, w = np.array(rows).T
+
+        def chains_of(at):
+            p, q, r = i0[at], i1[at], d[at]
+            for c in ps.chains(p.tolist(), q.tolist(), (p - r).tolist(), (q - r).tolist(), w[at].tolist()):
+                if w[at][c].sum() >= 12 and q[c[-1]] - p[c[0]] >= 20:
+                    yield tuple(at[c].tolist())
+
+        o, edge = ps.reachable(g, i0, i1, d, w, 12, 20)
+        got = sorted(c for a, b in zip(edge[:-1], edge[1:]) for c in chains_of(o[a:b]))
+        assert got == sorted(c for pair in range(12) for c in chains_of(np.flatnonzero(g == pair)))
+        kept, total, found = kept + len(o), total + len(g), found + len(got)
+    assert found and kept < total / 2
+
+
 def test_planted_passages(docs_of):
     docs, where = planted(random.Random(8))
     rows = ps.repeated_passages(docs_of(docs)).collect()
