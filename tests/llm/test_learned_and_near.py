@@ -280,6 +280,48 @@ def test_partners_behind_rarer_seeds(docs_of):
     assert any(r.other == 20 and r.n_words >= 80 for r in got)
 
 
+def test_no_chain_of_needless_seeds_alone():
+    """Whatever the places of needless seeds in another document, their links make no chain that is aligned."""
+    rng = random.Random(25)
+    some = 0
+    for _ in range(400):
+        pos = sorted(rng.sample(range(rng.choice([40, 200, 800])), rng.randrange(1, 12)))
+        left = [pos[k] for k in ps.needless(pos, [rng.randrange(4, 40) for _ in pos])]
+        some += len(left)
+        near = rng.randrange(900)
+        at = sorted({(p, max(0, q)) for p in left for q in (p + near, p + near + rng.choice([-1, 1, 9]), rng.randrange(900)) if rng.random() < 0.8})
+        segments = []
+        for p, q in sorted(at, key=lambda x: (x[0] - x[1], x[0])):
+            if segments and segments[-1][2] == p - q and p - segments[-1][1] <= ps.JOIN - ps.K:
+                segments[-1][3] += p + ps.K - max(p, segments[-1][1])
+                segments[-1][1] = p + ps.K
+            else:
+                segments.append([p, p + ps.K, p - q, ps.K])
+        for c in ps.chains(*zip(*[(a, b, a - d, b - d, w) for a, b, d, w in segments])) if segments else []:
+            assert segments[c[-1]][1] - segments[c[0]][0] < ps.REACHED or sum(segments[s][3] for s in c) < ps.MATCHED
+    assert some > 1000
+    assert ps.needless([0, 2, 6, 300, 302], [9] * 5) == [0, 1, 2, 3, 4]
+
+
+def test_links_of_a_usual_phrase(docs_of, monkeypatch):
+    """A phrase of 12 words in all documents makes no link of each pair of them in the second look, and the passages are those that all links give."""
+    rng = random.Random(26)
+    phrase = prose(rng, 12, 100_000).split()
+    docs = []
+    for i in range(120):
+        base = prose(rng, 40, 100_000).split()
+        for ws in (base, edited(rng, base, 0.1, i)) if i % 4 == 0 else (base,):
+            docs.append((len(docs), " ".join([*prose(rng, 60, 100_000).split(), *(phrase if len(docs) % 3 else phrase[:9]), *ws, *prose(rng, 60, 100_000).split()])))
+    sent, chained = [], ps.chained
+    monkeypatch.setattr(ps, "chained", lambda pairs, *a: (sent.append(pairs.count() if len(a) > 1 else 0), chained(pairs, *a))[1])
+    monkeypatch.setattr(ps, "COMMON_SAMPLE", 1, raising=False)
+    rows = sorted(ps.repeated_passages(docs_of(docs)).collect())
+    links, sent[:] = max(sent), []
+    monkeypatch.setattr(ps, "COMMON", 10**6, raising=False)
+    assert rows == sorted(ps.repeated_passages(docs_of(docs)).collect())
+    assert links < 600 and rows
+
+
 def test_subsequences_against_the_table():
     rng = random.Random(22)
     for _ in range(200):
