@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quirekit.functions.columns import let
+
 POINTS = "array<struct<x:double,y:double>>"
 
 
@@ -56,18 +58,20 @@ def quarter_turned(points: Column, turns: Column, width: Column, height: Column)
 def outline(baseline: Column, above: Column, below: Column) -> Column:
     """The polygon around a baseline: each point moved along the normal of its segment (the last segment's for the last point), heights 1 at least; upper points, then the lower ones reversed."""
     up, down = F.greatest(above, F.lit(1.0)), F.greatest(below, F.lit(1.0))
-    n = F.size(baseline)
 
-    def moved(by: Column, sign: int) -> Column:
-        def one(p, i):
+    def around(points: Column) -> Column:
+        n = F.size(points)
+
+        def angle(i: Column) -> Column:
             at = F.least(i, n - 2)
-            a, b = F.get(baseline, at), F.get(baseline, at + 1)
-            angle = F.atan2(b["y"] - a["y"], b["x"] - a["x"])
-            return F.struct((p["x"] + sign * by * F.sin(angle)).alias("x"), (p["y"] - sign * by * F.cos(angle)).alias("y"))
+            return let(F.struct(F.get(points, at).alias("a"), F.get(points, at + 1).alias("b")), lambda s: F.atan2(s["b"]["y"] - s["a"]["y"], s["b"]["x"] - s["a"]["x"]))
+
+        def moved(by: Column, sign: int) -> Column:
+            return F.transform(points, lambda p, i: let(angle(i), lambda t: F.struct((p["x"] + sign * by * F.sin(t)).alias("x"), (p["y"] - sign * by * F.cos(t)).alias("y"))))
 
-        return F.transform(baseline, one)
+        return F.when(n > 1, F.concat(moved(up, 1), F.reverse(moved(down, -1))))
 
-    return F.when(n > 1, F.concat(moved(up, 1), F.reverse(moved(down, -1))))
+    return let(baseline, around)  # a baseline may be computed: once, and not for each point
 
 
 def stretched(baseline: Column, by: float) -> Column:

@@ -10,10 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), where value is evaluated once and not wherever body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+from quirekit.functions.columns import let
 
 
 def total(xs: Column) -> Column:
