@@ -116,11 +116,7 @@ def c17_plain(s, d):
 
 @query("c18_ligatures")
 def c18(s, d):
-    @F.pandas_udf("array<array<int>>")
-    def places(v: pd.Series) -> pd.Series:
-        return v.map(ar.ligature_map)
-
-    return _arabic(s, d).select("conv_id", "turn", places(ar.shaped_udf()(F.col("text"))).alias("places"))
+    return _arabic(s, d).select("conv_id", "turn", ar.ligature_map_udf()(ar.shaped_udf()(F.col("text"))).alias("places"))
 
 
 @query("a29_representatives")
