@@ -1,8 +1,15 @@
 """What made queries grow faster than their tables: work done once and not for each element, bounded memory, and the same results as the plain definitions."""
 
+import random
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quirekit.functions import arabic as ar
 from quirekit.functions import geometry as ge
+from quirekit.functions import sequence as sq
 
 
 def test_outline_computes_its_baseline_once(spark):
@@ -11,3 +18,64 @@ def test_outline_computes_its_baseline_once(spark):
     df = spark.range(2).select(ge.outline(made, F.lit(2.0), F.lit(2.0)).alias("p"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("sequence(") == 1
     assert [len(r.p) for r in df.collect()] == [8, 10]
+
+
+def test_unit_costs_against_tables(monkeypatch):
+    """Paths and distances by bits are those of the whole table, ties and the filling of large tables in blocks included."""
+    rng = random.Random(1)
+    for bits in (sq.KEPT_BITS, 300, 1):
+        monkeypatch.setattr(sq, "KEPT_BITS", bits)
+        for t in range(300):
+            k = rng.choice([2, 3, 8])
+            a = [rng.randrange(k) for _ in range(rng.randrange(0, 30))]
+            b = [rng.randrange(k) for _ in range(rng.randrange(0, 30))] if t % 2 else [x if rng.random() < 0.8 else rng.randrange(k) for x in a if rng.random() < 0.9]
+            ends, moves = sq._table(a, b, 1, 1, 1)
+            codes = sq._codes(a, b)
+            steps = sq.unit_path(*codes)
+            assert steps.tolist() == sq._walk(moves, len(a), len(b)) == sq.path(a, b)
+            assert sq.unit_distance(*codes) == sq.path_cost(*codes, steps) == ends[-1]
+
+
+def peak(f) -> float:
+    """The most MB of Python that f takes."""
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_alignments_keep_bits_not_tables(monkeypatch):
+    """The table of one pair of long lines took a byte for each cell, and eight for some of its rows."""
+    monkeypatch.setattr(sq, "KEPT_BITS", 1 << 22)
+    a = np.arange(4000) % 37
+    b = np.where(np.arange(4000) % 5 == 0, 40, a)
+    assert peak(lambda: sq.many([a], [b])) < 12
+
+
+def test_whole_texts_against_tables(spark):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("ab cé😀") for _ in range(n))
+    rows = [(i, text(i), text(50 - i // 2)) for i in range(60)] + [(60, None, "a"), (61, "", "a b")]
+    got = spark.createDataFrame(rows, "i int, x string, y string").select("i", sq.text_distance_udf()("x", "y").alias("c"), sq.word_distance_udf()("x", "y").alias("w")).collect()
+    words = lambda t: [w for w in t.split(" ") if w]
+    for (_, x, y), r in zip(rows, sorted(got)):
+        assert (r.c, r.w) == ((None, None) if x is None else (sq.distance(x, y), sq.distance(words(x), words(y))))
+
+
+def test_substring_alignments_are_made_in_parts():
+    """Ten thousand rows were held as a dict for each pair of words, over 230 bytes each, before they went back."""
+    words = [f"w{i % 11}" for i in range(20)]
+    a, b = pa.array([words] * 3000, pa.list_(pa.string())), pa.array([words[3:9]] * 3000, pa.list_(pa.string()))
+    made = sq.substring_alignment_udf().func
+    assert peak(lambda: made(a, b)) < 12
+    assert [(p["src"], p["tgt"]) for p in made(a, b)[2999].as_py()] == sq.substring_alignment(words, words[3:9])
+
+
+def test_ligature_maps_are_made_of_batches():
+    """A list for each glyph of all rows of a batch, over 100 bytes each, was held in Python."""
+    texts = ["ﻻabﷲ" * 25, None, "", "x"] * 500
+    made = ar.ligature_map_udf().func
+    assert peak(lambda: made(pa.array(texts))) < 12
+    assert made(pa.array(texts)).slice(0, 4).to_pylist() == [None if t is None else ar.ligature_map(t) for t in texts[:4]]
