@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quirekit.functions.sequence import alignment_udf
+from quirekit.functions.sequence import alignment_udf, stitched_udf, text_distance_udf, word_distance_udf
 from quirekit.operators.scoring import let
 
 INF = float("inf")
@@ -169,17 +169,8 @@ def stitched(parts: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Texts of overlapping parts joined in their order: the longest overlap's better halves of each side; texts without one are just joined.
 
     The overlap of a left and a right part is the n that makes the last n of the left most like the first n of the right, by the least error rate, below 1; the first such n."""
-    parts = parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t")))), lambda p: p["t"]).alias("texts"))
-
-    def join(left: Column, right: Column) -> Column:
-        most = F.least(F.length(left), F.length(right))
-        tries = F.when(most > 0, F.transform(F.sequence(F.lit(1), most), lambda n: F.struct((F.levenshtein(F.right(left, n), F.left(right, n)) / n).alias("cer"), n.alias("n"))))
-        best = F.array_min(tries)
-        n = F.when(best["cer"] < 1, best["n"]).otherwise(0)
-        half = F.floor(n / 2).cast("int")
-        return F.concat(F.left(left, F.length(left) - half), F.substr(right, n - half + 1))
-
-    return parts.select(*keys, F.aggregate(F.slice("texts", 2, 1 << 30), F.element_at("texts", 1), lambda acc, t: join(acc, t)).alias("text"))
+    texts = parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t")))), lambda p: p["t"]).alias("texts"))
+    return texts.select(*keys, stitched_udf()("texts").alias("text"))
 
 
 def quality(letters: DataFrame, keys: list[str], confidence: str = "confidence", power: float = 6.0, box: tuple | None = None) -> DataFrame:
