@@ -51,24 +51,9 @@ def micro(lines: DataFrame, by: list[str]) -> DataFrame:
     return found.withColumn("rate", rate(F.col("errors"), F.col("ref_len")))
 
 
-def encoded_words(a: Column, b: Column) -> Column:
-    """Two texts with each distinct word as one character, as an array: distances of the characters are distances of the words."""
-
-    @F.pandas_udf("array<string>")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for s, t in zip(x, y):
-            codes: dict[str, str] = {}
-            code = lambda w: codes.setdefault(w, chr(0x100 + len(codes) + (0x800 if len(codes) >= 0xD700 else 0)))  # noqa: B023, E731
-            out.append([None if v is None else "".join(code(w) for w in v.split(" ") if w) for v in (s, t)])
-        return pd.Series(out)
-
-    return run(single_spaced(a), single_spaced(b))
-
-
 def word_errors(ref: Column, hyp: Column) -> Column:
     """The edit distance of two texts in words."""
-    return let(encoded_words(ref, hyp), lambda e: F.levenshtein(F.get(e, F.lit(0)), F.get(e, F.lit(1))))
+    return word_distance_udf()(single_spaced(ref), single_spaced(hyp))
 
 
 def n_words(c: Column) -> Column:
@@ -81,7 +66,7 @@ def report(files: DataFrame) -> DataFrame:
     chars, words = F.length(ref), n_words(F.col("ref"))
     return files.select(
         F.col("file").cast("string").alias("file_name"),
-        F.round(F.when(chars > 0, F.levenshtein(ref, hyp) / chars).otherwise(0.0), 6).alias("cer"),
+        F.round(F.when(chars > 0, text_distance_udf()(ref, hyp) / chars).otherwise(0.0), 6).alias("cer"),
         F.round(F.when(words > 0, word_errors(F.col("ref"), F.col("hyp")) / words).otherwise(0.0), 6).alias("wer"),
         chars.alias("number_of_gt_characters"),
         words.alias("number_of_gt_words"),

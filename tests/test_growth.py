@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quirekit.functions import arabic as ar
 from quirekit.functions import geometry as ge
 from quirekit.functions import sequence as sq
+from quirekit.operators import evaluation as ev
 
 
 def test_outline_computes_its_baseline_once(spark):
@@ -79,3 +80,29 @@ def test_ligature_maps_are_made_of_batches():
     made = ar.ligature_map_udf().func
     assert peak(lambda: made(pa.array(texts))) < 12
     assert made(pa.array(texts)).slice(0, 4).to_pylist() == [None if t is None else ar.ligature_map(t) for t in texts[:4]]
+
+
+def test_stitched_against_each_overlap(spark):
+    """Each overlap of two parts was measured six times over, by a distance of its own for each length."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abé") for _ in range(n))
+    whole = [text(rng.choice([0, 1, 7, 30, 90])) + text(5) for _ in range(40)]
+    rows = [(i, k, t[k * 9 : k * 9 + 14] if i % 8 else t) for i, t in enumerate(whole) for k in range(4)] + [(40, 0, "a"), (40, 1, None), (41, 0, "only")]
+    df = ev.stitched(spark.createDataFrame(rows, "i int, o int, text string"), ["i"], "o")
+    assert "levenshtein" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = dict(df.collect())
+    for i in range(40):
+        left, *parts = [t for j, _, t in rows if j == i]
+        for right in parts:
+            tried = [(sq.distance(left[-n:], right[:n]) / n, n) for n in range(1, min(len(left), len(right)) + 1)]
+            n = min(tried)[1] if tried and min(tried)[0] < 1 else 0
+            left = left[: len(left) - n // 2] + right[n - n // 2 :]
+        assert got[i] == left
+    assert got[40] is None and got[41] == "only"
+
+
+def test_report_takes_no_table_of_whole_texts(spark):
+    """Whole texts were compared cell by cell, by the square of their length."""
+    df = ev.report(spark.createDataFrame([(1, "a b  c", "a x c"), (2, "", "q"), (3, "ab", "")], "file int, ref string, hyp string"))
+    assert "levenshtein" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.file_name, r.cer, r.wer) for r in df.collect()) == [("1", 0.2, round(1 / 3, 6)), ("2", 0.0, 0.0), ("3", 1.0, 1.0)]
