@@ -158,6 +158,73 @@ def clipped(polygon: np.ndarray, region: np.ndarray) -> np.ndarray:
     return np.array(out).reshape(-1, 2)
 
 
+def prior(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of polygons whose points lie one after another, count of them each: the polygon of each point, the point before it on the polygon, and where each polygon begins (and the last ends)."""
+    first = np.concatenate([[0], np.cumsum(count)])
+    before = np.arange(first[-1]) - 1
+    some = count > 0
+    before[first[:-1][some]] = first[1:][some] - 1
+    return np.repeat(np.arange(len(count)), count), before, first
+
+
+def clipped_many(points: np.ndarray, count: np.ndarray, hulls: np.ndarray, size: np.ndarray, hull: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(points, count): clipped() of many polygons, whose points lie one after another. hulls are convex_hull()s, one after another and of `size` points each; hull says which is each polygon's."""
+    at = np.concatenate([[0], np.cumsum(size)])[:-1]
+    for e in range(int(size[hull].max(initial=0))):
+        own, before, _ = prior(count)
+        sides = size[hull][own]
+        cut = e < sides
+        start = at[hull][own]
+        a, b = hulls[np.where(cut, start + e, 0)], hulls[np.where(cut, start + (e + 1) % np.maximum(sides, 1), 0)]
+        side = (b[:, 0] - a[:, 0]) * (points[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (points[:, 0] - a[:, 0])
+        inside = (side >= 0) | ~cut
+        cross = cut & ((side[before] >= 0) != (side >= 0))
+        n = cross.astype(np.int64) + inside
+        place = np.cumsum(n) - n
+        out = np.empty((int(n.sum()), 2))
+        c = np.flatnonzero(cross)
+        p, q, sp, sq = points[before[c]], points[c], side[before[c]], side[c]
+        out[place[c]] = p + (sp / (sp - sq))[:, None] * (q - p)
+        k = np.flatnonzero(inside)
+        out[(place + cross)[k]] = points[k]
+        points, count = out, np.bincount(own, n, minlength=len(count)).astype(np.int64)
+    return points, count
+
+
+def areas(points: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """area() of many polygons, whose points lie one after another."""
+    own, before, _ = prior(count)
+    (x, y), (u, v) = points[before].T, points.T
+    twice = np.bincount(own, x * v - y * u, minlength=len(count))
+    return np.where(count < 3, 0.0, np.abs(twice) / 2)
+
+
+def resample_many(points: np.ndarray, n: int = 10) -> np.ndarray:
+    """resample() of many baselines of equally many points."""
+    p = np.asarray(points, float)
+    out = np.repeat(p[:, :1], n, axis=1)
+    swap = np.ptp(p[:, :, 1], axis=1) > np.ptp(p[:, :, 0], axis=1)
+    u, v = np.where(swap[:, None], p[:, :, 1], p[:, :, 0]), np.where(swap[:, None], p[:, :, 0], p[:, :, 1])
+    width = np.ptp(u, axis=1)
+    degree = np.minimum(2, np.count_nonzero(np.diff(np.sort(u, axis=1), axis=1), axis=1))
+    for d in (1, 2):
+        own = np.flatnonzero(degree == d)
+        if not len(own):
+            continue
+        w, centre = width[own, None], u[own].mean(axis=1, keepdims=True)
+        x = (u[own] - centre) / w
+        rows = np.stack([x**k for k in range(d, -1, -1)], axis=2)
+        scale = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+        fit = (np.linalg.pinv(rows / scale, rcond=p.shape[1] * np.finfo(float).eps) @ v[own][:, :, None])[:, :, 0] / scale[:, 0]
+        to = np.linspace(u[own, 0], u[own, -1], n, axis=1)
+        z, value = (to - centre) / w, np.zeros_like(to)
+        for k in range(d + 1):
+            value = value * z + fit[:, k : k + 1]
+        s = swap[own, None]
+        out[own] = np.stack([np.where(s, value, to), np.where(s, to, value)], axis=2)
+    return out
+
+
 def circumradius(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> float:
     """The radius of the circle through three points; infinite if they are on a line."""
     x, y, z = np.linalg.norm(b - c), np.linalg.norm(c - a), np.linalg.norm(a - b)

@@ -6,19 +6,69 @@ A page is the unit of work: joins are on the page and then on boxes, and what ne
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quirekit.functions.geometry import area, box, clipped, convex_hull, resample
+from quirekit.functions.geometry import POINTS, areas, box, clipped_many, convex_hull, resample, resample_many
 
 #: Rows of pages that a task labels at once, at least where there are so many.
 PAGE_ROWS = 20_000
+#: Pairs that are clipped together.
+CLIPPED = 2048
+
+
+def by_pages(rows: DataFrame, order: list[str], made: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """made() of the rows, dealt by page and sorted by page and `order`, some whole pages at a time."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) < PAGE_ROWS:
+                continue
+            code = batch.column(batch.schema.get_field_index("page")).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            if (code != code[-1]).any():
+                cut = int(np.flatnonzero(code != code[-1])[-1]) + 1
+                yield made(pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]).combine_chunks().to_batches()[0])
+                held = [batch.slice(cut)]
+        if held:
+            yield made(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return rows.repartition("page").sortWithinPartitions("page", *order).mapInArrow(run, schema)
+
+
+def _arrays(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
+
+
+def _starts(batch: pa.RecordBatch, *names: str) -> np.ndarray:
+    """Where groups of equal values begin, and the end of the last."""
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for c in names:
+        code = batch.column(batch.schema.get_field_index(c)).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return np.append(np.flatnonzero(new), batch.num_rows)
+
+
+def _lists(points: np.ndarray, count: np.ndarray) -> pa.Array:
+    """Points, count of them in each list, as arrays of (x, y)."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(points[:, k])) for k in (0, 1)], ["x", "y"]))
+
+
+def _points_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(points, count) of arrays of (x, y); a null is an empty one."""
+    flat = lists.flatten()
+    count = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
+    return np.stack([flat.field(k).to_numpy(zero_copy_only=False).astype(float) for k in (0, 1)], axis=1), count
 
 
 def flattened(pages: DataFrame) -> DataFrame:
@@ -90,11 +140,25 @@ def clipped_parts(lines: DataFrame, regions: DataFrame) -> DataFrame:
     apart = lambda pos, size: (F.col(f"b.{pos}") < F.col(f"rb.{pos}") + F.col(f"rb.{size}")) & (F.col(f"b.{pos}") + F.col(f"b.{size}") > F.col(f"rb.{pos}"))
     pairs = boxed(lines, "page", "line").join(r, "page").where(apart("hpos", "width") & apart("vpos", "height"))
 
-    @F.pandas_udf("struct<part:array<struct<x:double,y:double>>,area:double>")
-    def clip(edge: pd.Series, region: pd.Series) -> pd.DataFrame:
-        of = lambda ps: np.array([(p["x"], p["y"]) for p in ps], float)
-        parts = [clipped(of(a), of(b)) for a, b in zip(edge, region)]
-        return pd.DataFrame({"part": [[{"x": float(x), "y": float(y)} for x, y in p] for p in parts], "area": [float(area(p)) if len(p) else 0.0 for p in parts]})
+    def part(edges: pa.Array, of: pa.Array) -> pa.Array:
+        points, count = _points_of(edges)
+        corners, size = _points_of(of)
+        first = np.concatenate([[0], np.cumsum(size)])
+        known: dict[bytes, int] = {}
+        hulls: list[np.ndarray] = []
+        which = np.zeros(len(count), np.int64)
+        for i, (p, q) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+            key = corners[p:q].tobytes()
+            if key not in known:
+                known[key] = len(hulls)
+                hulls.append(convex_hull(corners[p:q]).reshape(-1, 2))
+            which[i] = known[key]
+        points, count = clipped_many(points, count, np.concatenate([*hulls, np.zeros((1, 2))]), np.array([len(h) for h in hulls], np.int64), which)
+        return pa.StructArray.from_arrays([_lists(points, count), pa.array(areas(points, count))], ["part", "area"])
+
+    @F.arrow_udf("struct<part:array<struct<x:double,y:double>>,area:double>")
+    def clip(edge: pa.Array, region: pa.Array) -> pa.Array:
+        return pa.concat_arrays([part(edge.slice(at, CLIPPED), region.slice(at, CLIPPED)) for at in range(0, max(1, len(edge)), CLIPPED)])
 
     return pairs.select("page", "region", "line", clip("edge", "region_edge").alias("c")).select("page", "region", "line", "c.part", "c.area").where("area > 0")
 
@@ -191,51 +255,84 @@ def cluster_boxes(lines: DataFrame, of: DataFrame) -> DataFrame:
 def cluster_hulls(lines: DataFrame, of: DataFrame) -> DataFrame:
     """(page, cluster, hull): the convex hull of each cluster's corners, as points."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for cluster, own in pdf.groupby("cluster"):
-            x, y, w, h = (own[c].to_numpy(float) for c in "xywh")
-            hull = convex_hull(np.concatenate([np.stack([a, b], 1) for a in (x, x + w) for b in (y, y + h)]))
-            out.append((key[0], cluster, [{"x": float(a), "y": float(b)} for a, b in hull]))
-        return pd.DataFrame(out, columns=["page", "cluster", "hull"])
+    def made(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = _starts(batch, "page", "cluster")
+        x, y, w, h = (v.astype(float) for v in _arrays(batch, "x", "y", "w", "h"))
+        corners = np.stack([np.stack([a, b], 1) for a in (x, x + w) for b in (y, y + h)], 1)
+        hulls = [corners[i, [0, 2, 3, 1]] if j == i + 1 and w[i] > 0 and h[i] > 0 else convex_hull(corners[i:j].reshape(-1, 2)).reshape(-1, 2) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+        keys = [batch.column(batch.schema.get_field_index(c)).take(pa.array(at[:-1])) for c in ("page", "cluster")]
+        return pa.RecordBatch.from_arrays([*keys, _lists(np.concatenate(hulls), np.array([len(p) for p in hulls]))], ["page", "cluster", "hull"])
 
     page, line = (lines.schema[c].dataType.simpleString() for c in ("page", "line"))
-    return lines.join(of, ["page", "line"]).groupBy("page").applyInPandas(run, f"page {page}, cluster {line}, hull array<struct<x:double,y:double>>")
+    rows = lines.join(of, ["page", "line"]).select("page", "cluster", "x", "y", "w", "h")
+    return by_pages(rows, ["cluster"], made, f"page {page}, cluster {line}, hull array<struct<x:double,y:double>>")
 
 
 def merged_lines(lines: DataFrame, n_points: int = 10) -> DataFrame:
     """(page, line, members, points, h): lines of a row merged until no more are: each joins the first group that claims it, in the order of (y, line); heights are the largest of a group, points run along its lower edges, resampled."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(r.y + r.h, r.h, [r.line], [(r.x, r.y + r.h), (r.x + r.w, r.y + r.h)]) for r in pdf.sort_values(["y", "line"]).itertuples()]
+    def row(y, h, members: list, points: list[tuple]) -> tuple:
+        xs, ys = [p[0] for p in points], [p[1] for p in points]
+        return y, h, members, points, min(xs), max(xs), (ys[0] + ys[1]) / 2 if len(ys) == 2 else float(np.mean(ys))
+
+    def page_of(rows: list[tuple]) -> list[tuple]:
         while True:
-            left, out = list(rows), []
+            left, out = rows, []
             while left:
-                group = [left.pop(0)]
-                for r in list(left):
-                    if _same_row(group[0], r):
-                        group.append(r)
-                        left.remove(r)
-                points = sorted(p for g in group for p in g[3])
-                if len(group) > 1:
-                    points = [tuple(p) for p in resample(np.array(points), n_points)]
-                out.append((max(g[0] for g in group), max(g[1] for g in group), sorted(m for g in group for m in g[2]), points))
+                group, rest = [left[0]], []
+                for r in left[1:]:
+                    (group if _same_row(group[0], r) else rest).append(r)
+                left = rest
+                if len(group) == 1:
+                    out.append(group[0])
+                    continue
+                points = [tuple(p) for p in resample(np.array(sorted(p for g in group for p in g[3])), n_points)]
+                out.append(row(max(g[0] for g in group), max(g[1] for g in group), sorted(m for g in group for m in g[2]), points))
             if len(out) == len(rows):
-                break
+                return out
             rows = out
-        return pd.DataFrame({"page": key[0], "line": [r[2][0] for r in rows], "members": [r[2] for r in rows], "points": [[{"x": float(x), "y": float(y)} for x, y in r[3]] for r in rows], "h": [float(r[1]) for r in rows]})
+
+    def made(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = _starts(batch, "page")
+        one = [row(y + h, h, [line], [(x, y + h), (x + w, y + h)]) for line, x, y, w, h in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("line", "x", "y", "w", "h")))]
+        pages = [page_of(one[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+        rows = [r for p in pages for r in p]
+        page = batch.column(batch.schema.get_field_index("page")).take(pa.array(np.repeat(at[:-1], [len(p) for p in pages])))
+        kind = batch.schema.field("line").type
+        points = _lists(np.array([p for r in rows for p in r[3]], float), np.array([len(r[3]) for r in rows]))
+        return pa.RecordBatch.from_arrays([page, pa.array([r[2][0] for r in rows], kind), pa.array([r[2] for r in rows], pa.list_(kind)), points, pa.array([float(r[1]) for r in rows])], ["page", "line", "members", "points", "h"])
 
     page, line = (lines.schema[c].dataType.simpleString() for c in ("page", "line"))
-    return lines.groupBy("page").applyInPandas(run, f"page {page}, line {line}, members array<{line}>, points array<struct<x:double,y:double>>, h double")
+    return by_pages(lines.select("page", "line", "x", "y", "w", "h"), ["y", "line"], made, f"page {page}, line {line}, members array<{line}>, points array<struct<x:double,y:double>>, h double")
+
+
+def _same_row(a: tuple, b: tuple) -> bool:
+    """Whether two rows (.., h, .., .., least x, largest x, mean y) are one."""
+    (_, ah, _, _, a0, a1, ay), (_, bh, _, _, b0, b1, by) = a, b
+    low = min(ah, bh)
+    if min(ay, by) - max(ay - ah, by - bh) <= 0.7 * low:
+        return False
+    inside = (a0 < b0 and a1 > b1) or (b0 < a0 and b1 > a1)
+    return not inside and max(a0, b0) - min(a1, b1) < 2 * low
+
+
+def resampled_udf(n: int = 10):
+    """resample() of a column of baselines, those of equally many points together; NULL where a baseline is."""
 
+    @F.arrow_udf(POINTS)
+    def run(v: pa.Array) -> pa.Array:
+        points, count = _points_of(v)
+        first = np.cumsum(count) - count
+        out, size = np.zeros((len(count), n, 2)), np.where(count > 0, n, 0)
+        for c in np.unique(count[count > 0]).tolist():
+            own = np.flatnonzero(count == c)
+            for at in range(0, len(own), 1024):
+                some = own[at : at + 1024]
+                out[some] = resample_many(points[first[some][:, None] + np.arange(c)], n)
+        lists = _lists(out[count > 0].reshape(-1, 2), size)
+        return pc.if_else(v.is_null(), pa.scalar(None, lists.type), lists)
 
-def _same_row(a, b) -> bool:
-    ax, bx = ([p[0] for p in r[3]] for r in (a, b))
-    ay, by = (np.mean([p[1] for p in r[3]]) for r in (a, b))
-    low = min(a[1], b[1])
-    overlap = min(ay, by) - max(ay - a[1], by - b[1])
-    inside = (min(ax) < min(bx) and max(ax) > max(bx)) or (min(bx) < min(ax) and max(bx) > max(ax))
-    return overlap > 0.7 * low and not inside and max(min(ax), min(bx)) - min(max(ax), max(bx)) < 2 * low
+    return run
 
 
 def gap_clusters(values: DataFrame, keys: list[str], value: str, eps: float, tie: str) -> DataFrame:
@@ -302,11 +399,21 @@ def xy_cut(boxes: list[tuple], least: float = 0.1) -> list[int]:
 
     def groups(ids: list[int], axis: int) -> list[list[int]]:
         lo, hi = axis, axis + 2
-        out: list[list[int]] = []
+        out: list[tuple] = []
+        near: list[tuple] = []  # groups that a later box may meet: the first place and member, how far they reach, the members
         for i in sorted(ids, key=lambda i: (boxes[i][lo], i)):
-            joined = [g for g in out if any(meet(boxes[i], boxes[j], lo, hi) for j in g)]
-            out = [g for g in out if g not in joined] + [[j for g in joined for j in g] + [i]]
-        return sorted(out, key=lambda g: min((boxes[i][lo], i) for i in g))
+            a = boxes[i]
+            first, far, own = (a[lo], i), a[hi], [i]
+            still = []
+            for g in near:
+                if g[1] < a[lo]:
+                    out.append(g)
+                elif any(meet(a, boxes[j], lo, hi) for j in g[2]):
+                    first, far, own = min(first, g[0]), max(far, g[1]), g[2] + own
+                else:
+                    still.append(g)
+            near = [*still, (first, far, own)]
+        return [g[2] for g in sorted(out + near)]
 
     def meet(a, b, lo, hi) -> bool:
         if a[lo] > b[hi] or b[lo] > a[hi]:
@@ -332,19 +439,21 @@ def xy_cut(boxes: list[tuple], least: float = 0.1) -> list[int]:
 def smart_order(regions: DataFrame, angles: DataFrame | None = None, least: float = 0.1) -> DataFrame:
     """(page, region, place): xy_cut() of each page's boxes, turned back by the page's angle in degrees (page, angle) first."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("region").reset_index(drop=True)
-        turn = np.radians(float(pdf.angle.iloc[0]))
+    def made(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = _starts(batch, "page")
+        angle, x0, y0, x1, y1 = (v.astype(float) for v in _arrays(batch, "angle", "x0", "y0", "x1", "y1"))
+        turn = np.repeat(np.radians(angle[at[:-1]]), np.diff(at))
         c, s = np.cos(-turn), np.sin(-turn)
-        corners = [[(x * c - y * s, x * s + y * c) for x in (r.x0, r.x1) for y in (r.y0, r.y1)] for r in pdf.itertuples()]
-        boxes = [(min(p[0] for p in q), min(p[1] for p in q), max(p[0] for p in q), max(p[1] for p in q)) for q in corners]
-        place = np.empty(len(boxes), np.int32)
-        place[xy_cut(boxes, least)] = np.arange(1, len(boxes) + 1)
-        return pd.DataFrame({"page": key[0], "region": pdf.region, "place": place})
+        px, py = ([f(x, y) for x in (x0, x1) for y in (y0, y1)] for f in (lambda x, y: x * c - y * s, lambda x, y: x * s + y * c))
+        boxes = list(zip(*(f(v, axis=0).tolist() for f, v in ((np.min, px), (np.min, py), (np.max, px), (np.max, py)))))
+        place = np.empty(batch.num_rows, np.int32)
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+            place[i + np.array(xy_cut(boxes[i:j], least))] = np.arange(1, j - i + 1)
+        return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in ("page", "region")), pa.array(place)], ["page", "region", "place"])
 
     regions = regions.withColumn("angle", F.lit(0.0)) if angles is None else regions.join(angles, "page", "left").fillna(0.0, ["angle"])
     page, region = (regions.schema[c].dataType.simpleString() for c in ("page", "region"))
-    return regions.groupBy("page").applyInPandas(run, f"page {page}, region {region}, place int")
+    return by_pages(regions.select("page", "region", "x0", "y0", "x1", "y1", "angle"), ["region"], made, f"page {page}, region {region}, place int")
 
 
 def rotation(lines: DataFrame) -> DataFrame:

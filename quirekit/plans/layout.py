@@ -292,11 +292,7 @@ def g02(s, d):
 
 @query("g02_resampled")
 def g02_curved(s, d):
-    @F.pandas_udf(ge.POINTS)
-    def run(v: pd.Series) -> pd.Series:
-        return pd.Series([[{"x": float(x), "y": float(y)} for x, y in ge.resample(np.array([(p["x"], p["y"]) for p in ps]))] for ps in v])
-
-    return _points(lines(s, d).select("line", run(baseline()).alias("p")))
+    return _points(lines(s, d).select("line", la.resampled_udf()(baseline()).alias("p")))
 
 
 @query("g03_rotated", f"WITH {_BASE} SELECT line, i, round(500 + cos(radians(7)) * (px - 500) - sin(radians(7)) * (py - 700), 4) AS x, round(700 + sin(radians(7)) * (px - 500) + cos(radians(7)) * (py - 700), 4) AS y FROM pts")

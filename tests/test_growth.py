@@ -11,6 +11,7 @@ from quirekit.functions import arabic as ar
 from quirekit.functions import geometry as ge
 from quirekit.functions import sequence as sq
 from quirekit.operators import evaluation as ev
+from quirekit.operators import layout as la
 
 
 def test_outline_computes_its_baseline_once(spark):
@@ -106,3 +107,70 @@ def test_report_takes_no_table_of_whole_texts(spark):
     df = ev.report(spark.createDataFrame([(1, "a b  c", "a x c"), (2, "", "q"), (3, "ab", "")], "file int, ref string, hyp string"))
     assert "levenshtein" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.file_name, r.cer, r.wer) for r in df.collect()) == [("1", 0.2, round(1 / 3, 6)), ("2", 0.0, 0.0), ("3", 1.0, 1.0)]
+
+
+def test_pages_are_made_together(spark):
+    """Pages went to Python one by one, as a pandas frame and a call each; that took most of the time."""
+    lines = spark.createDataFrame([(p, i, (i * 37) % 90, (i * 53) % 60, 20, 10) for p in range(3) for i in range(9)], "page int, line long, x long, y long, w long, h long")
+    of = la.clusters(lines, la.near_pairs(lines, 1))
+    made = [la.cluster_hulls(lines, of), la.merged_lines(lines), la.smart_order(la.cluster_boxes(lines, of).withColumnRenamed("cluster", "region"))]
+    for df in made:
+        assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().optimizedPlan().toString()
+    hulls, merged, order = (df.collect() for df in made)
+    at = {(r.page, r.line): r.cluster for r in of.collect()}
+    own: dict = {}
+    for r in lines.collect():
+        own.setdefault((r.page, at[r.page, r.line]), []).extend((a, b) for a in (r.x, r.x + r.w) for b in (r.y, r.y + r.h))
+    assert {(r.page, r.cluster): [tuple(p) for p in r.hull] for r in hulls} == {k: [tuple(p) for p in ge.convex_hull(np.array(v))] for k, v in own.items()}
+    assert sorted((r.page, m) for r in merged for m in r.members) == sorted(at) and all(len(r.points) == (2 if len(r.members) == 1 else 10) for r in merged)
+    for page in range(3):
+        ids = sorted(c for p, c in own if p == page)
+        boxes = [(min(x for x, _ in v), min(y for _, y in v), max(x for x, _ in v), max(y for _, y in v)) for v in (own[page, c] for c in ids)]
+        assert [r.region for r in sorted((r for r in order if r.page == page), key=lambda r: r.place)] == [ids[i] for i in la.xy_cut(boxes)]
+
+
+def test_pages_at_the_edges_of_batches(spark, monkeypatch):
+    monkeypatch.setattr(la, "PAGE_ROWS", 4)
+    rows = [(p, p * 10 + i, i * 50, 0, 20, 10) for p in range(20) for i in range(p % 7 + 1)]
+    lines = spark.createDataFrame(rows, "page int, line long, x long, y long, w long, h long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = la.merged_lines(lines).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.page, m) for r in got for m in r.members) == sorted((r[0], r[1]) for r in rows)
+
+
+def test_xy_cut_meets_only_what_is_near():
+    """Each box was compared with all before it, also in a column of boxes one below the other."""
+    looked = []
+
+    class Box(tuple):
+        def __getitem__(self, i):
+            looked.append(i)
+            return tuple.__getitem__(self, i)
+
+    assert la.xy_cut([Box((0, 10 * i, 5, 10 * i + 9)) for i in range(400)]) == list(range(400))
+    assert len(looked) < 400 * 40
+
+
+def test_polygons_clipped_together():
+    """Each pair was clipped by itself, with a hull of its region computed anew."""
+    rng = np.random.default_rng(4)
+    lines = [ge.convex_hull(rng.uniform(0, 60, (6, 2))) for _ in range(40)] + [np.array([(0, 0), (9, 9.0)]), np.zeros((0, 2))]
+    hulls = [ge.convex_hull(rng.uniform(0, 60, (5, 2))) for _ in range(5)]
+    which = np.arange(len(lines)) % 5
+    points, count = ge.clipped_many(np.concatenate(lines), np.array([len(p) for p in lines]), np.concatenate(hulls), np.array([len(p) for p in hulls]), which)
+    at = np.concatenate([[0], np.cumsum(count)])
+    for i, (p, h) in enumerate(zip(lines, which)):
+        want = ge.clipped(p, hulls[h])
+        assert np.array_equal(points[at[i] : at[i + 1]], want)
+        assert abs(ge.areas(points, count)[i] - ge.area(want)) < 1e-9
+
+
+def test_baselines_resampled_together():
+    """A parabola was fitted to each baseline by itself."""
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 5):
+        p = np.concatenate([rng.uniform(0, 99, (20, n, 2)), np.repeat(rng.uniform(0, 9, (3, 1, 2)), n, axis=1), np.stack([np.full((2, n), 3.0), rng.uniform(0, 99, (2, n))], axis=2)])
+        assert np.allclose(ge.resample_many(p, 7), [ge.resample(q, 7) for q in p], atol=1e-7)
