@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quirekit.functions import arabic as ar
+from quirekit.functions import confusion as cn
 from quirekit.functions import geometry as ge
 from quirekit.functions import sequence as sq
 from quirekit.operators import evaluation as ev
@@ -174,3 +175,11 @@ def test_baselines_resampled_together():
     for n in (1, 2, 3, 5):
         p = np.concatenate([rng.uniform(0, 99, (20, n, 2)), np.repeat(rng.uniform(0, 9, (3, 1, 2)), n, axis=1), np.stack([np.full((2, n), 3.0), rng.uniform(0, 99, (2, n))], axis=2)])
         assert np.allclose(ge.resample_many(p, 7), [ge.resample(q, 7) for q in p], atol=1e-7)
+
+
+def test_networks_fill_no_tables(monkeypatch):
+    """Each hypothesis filled a table in numpy, a row of a few cells at a time."""
+    monkeypatch.setattr(sq, "_table", None)
+    bag = [("view", -1.0, None), ("views", -1.0, -1.0), ("vie", -2.0, None)] * 3
+    got = cn.produced(bag)
+    assert cn.best_text(got) == "view" and all(abs(sum(p.values()) - 1) < 1e-9 for p in got)
