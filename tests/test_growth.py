@@ -39,6 +39,20 @@ def test_unit_costs_against_tables(monkeypatch):
             assert sq.unit_distance(*codes) == sq.path_cost(*codes, steps) == ends[-1]
 
 
+def test_substrings_against_tables():
+    """Each pair filled a table in numpy, which took most of the time."""
+    rng = random.Random(2)
+    for _ in range(600):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(0, 25))] for _ in range(2))
+        long, short = (a, b) if len(a) >= len(b) else (b, a)
+        ends, moves = sq._table(long, short, 1, 1, 1, free_start=True)
+        assert sq.unit_ends(*sq._codes(long, short))[0] == ends.tolist() and sq.substring_distance(a, b) == ends.min()
+        end = int(np.flatnonzero(ends == ends.min())[-1])
+        steps = sq._walk(moves, end, len(short), stop_row=True)
+        lead = end - sum(s != sq.TARGET for s in steps)
+        assert sq.substring_path(long, short) == [sq.SOURCE] * lead + steps + [sq.SOURCE] * (len(long) - end)
+
+
 def peak(f) -> float:
     """The most MB of Python that f takes."""
     tracemalloc.start()
@@ -67,7 +81,7 @@ def test_whole_texts_against_tables(spark):
         assert (r.c, r.w) == ((None, None) if x is None else (sq.distance(x, y), sq.distance(words(x), words(y))))
 
 
-def test_substring_alignments_are_made_in_parts():
+def test_substring_alignments_are_made_in_parts(spark):
     """Ten thousand rows were held as a dict for each pair of words, over 230 bytes each, before they went back."""
     words = [f"w{i % 11}" for i in range(20)]
     a, b = pa.array([words] * 3000, pa.list_(pa.string())), pa.array([words[3:9]] * 3000, pa.list_(pa.string()))
@@ -76,7 +90,7 @@ def test_substring_alignments_are_made_in_parts():
     assert [(p["src"], p["tgt"]) for p in made(a, b)[2999].as_py()] == sq.substring_alignment(words, words[3:9])
 
 
-def test_ligature_maps_are_made_of_batches():
+def test_ligature_maps_are_made_of_batches(spark):
     """A list for each glyph of all rows of a batch, over 100 bytes each, was held in Python."""
     texts = ["ﻻabﷲ" * 25, None, "", "x"] * 500
     made = ar.ligature_map_udf().func
