@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirekit.functions.sequence import alignment_udf, stitched_udf, text_distance_udf, word_distance_udf
-from quirekit.operators.scoring import let
 
 INF = float("inf")
 
